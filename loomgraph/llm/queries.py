@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import components, heavy_hitters, term_frequency
+from loomgraph.llm import components, heavy_hitters, leakage, mixing, quality, term_frequency
 from loomgraph.sources.tables import table
 
 HEAVY_SHARE = "0.0025"
@@ -72,10 +72,50 @@ def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _frequencies(spark, d)
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(
+        table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text"
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that contain a passage of an evaluation item, and the item."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The word ranges to remove from each document, with the items they come from."""
+    return leakage.removal_spans(_leaks(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The notebooks of the targeted sources in training order, each use a row."""
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).documents
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share, tokens and uses of every targeted source."""
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are mostly lists, tables or junk."""
+    scored = quality.outlier_scores(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return quality.shaped_documents(scored)
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """All statistics, the outlier score and the tails of every document."""
+    return quality.outlier_scores(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_top, p2_found, p2_sizes, p6_found, p6_frequencies)
+        for f in (
+            p1_found, p1_top, p2_found, p2_sizes, p6_found, p6_frequencies, p7_found, p7_spans,
+            p8_mixture, p8_shares, p9_found, p9_statistics,
+        )
     }
 
 
