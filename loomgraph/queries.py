@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import graph_queries
 from loomgraph.operators.hierarchy import Hierarchy
 from loomgraph.operators.rejects import parse_lines
 from loomgraph.operators.skew import heavy_keys, keyed_statistics
@@ -68,7 +69,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_valid, p4_found, p4_statistics, p5_found, p5_nodes, p5_descendants)}
+    return graph_queries.queries() | {f.__name__: f for f in (p3_found, p3_valid, p4_found, p4_statistics, p5_found, p5_nodes, p5_descendants)}
 
 
 _P3 = r"""
@@ -129,7 +130,7 @@ cyclic AS (
 
 def oracle_sql() -> dict:
     every = " UNION ALL ".join(_P4.format(c=c) for c in ("p", "s"))
-    return {
+    return graph_queries.oracle_sql() | {
         "p3_found": _P3 + "SELECT line_id, reason FROM verdicts WHERE reason IS NOT NULL",
         "p3_valid": _P3 + "SELECT line_id, CAST(a AS BIGINT) AS id, b AS text FROM verdicts WHERE reason IS NULL",
         "p4_found": "SELECT field_name, val FROM (" + every + """) WHERE n_rows * 100 >=
