@@ -85,8 +85,8 @@ class Engine:
             out = out.join(scan(self.explicit, s, p, o), ["s", "p", "o"], "left_anti").select("s", "p", "o")
         return out
 
-    def cardinality(self, atoms: list[Atom], implicit: bool = True) -> list[tuple[int, int]]:
-        """``(explicit, implicit)`` estimates of patterns."""
+    def cardinality(self, atoms: list[Atom], implicit: bool = True) -> list[planner.Estimate]:
+        """The estimates of patterns, with what is concluded if ``implicit``."""
         rules = self.tbox.compiled if implicit else []
         return planner.estimates(self.known if implicit else self.explicit, atoms, rules)
 
@@ -105,7 +105,7 @@ class Engine:
         variable are refused unless ``allow_cross``.  ``sets`` restricts
         variables to ids.
         """
-        if optimise and len(atoms) > 1:
+        if optimise and len(atoms) > 2:  # two are joined either way; Spark picks the sides
             order = planner.join_order(atoms, self.cardinality(atoms, implicit=reason))
         else:
             order = range(len(atoms))
@@ -186,5 +186,5 @@ class Engine:
         sizes = self.cardinality(atoms, implicit=reason)
         lines = []
         for i in planner.join_order(atoms, sizes):
-            lines.append(f"{atoms[i].s} {atoms[i].p} {atoms[i].o}  explicit {sizes[i][0]}, implicit {sizes[i][1]}")
+            lines.append(f"{atoms[i].s} {atoms[i].p} {atoms[i].o}  explicit {sizes[i].explicit}, implicit {sizes[i].implicit}")
         return "\n".join(lines)

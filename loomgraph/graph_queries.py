@@ -127,7 +127,7 @@ def cardinality_estimates(spark, d):
     e = Engine(triples(spark, d))
     atoms = [Atom("?s", p, "?o") for p in (100, 101, 104, 117)]
     found = e.cardinality(atoms, implicit=False)
-    return spark.createDataFrame([(a.p, n) for a, (n, _) in zip(atoms, found) if n], "p bigint, estimate bigint")
+    return spark.createDataFrame([(a.p, x.explicit) for a, x in zip(atoms, found) if x.explicit], "p bigint, estimate bigint")
 
 
 _DICT = "(SELECT id, min(text) AS text FROM dictionary WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id)"

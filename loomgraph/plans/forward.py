@@ -57,6 +57,37 @@ def with_side(spark, rule_name: str, head: Atom, body: tuple[Atom, ...], side: D
     return Compiled(rule_name, head, body, local, [r.asDict() for r in first], tuple(needed))
 
 
+def from_rows(spark, rule_name: str, head: Atom, body: tuple[Atom, ...], rows: list[dict[str, int]]) -> Compiled | None:
+    """A compiled rule on bindings that are on the driver already."""
+    if not rows:
+        return None
+    needed = [v for v in rows[0] if v in head.variables() or any(v in a.variables() for a in body)]
+    distinct = sorted({tuple(r[v] for v in needed) for r in rows})
+    columns = [name(v) for v in needed]
+    if not columns:
+        return Compiled(rule_name, head, body, None, [{}], ())
+    side = spark.createDataFrame(distinct, ", ".join(f"`{c}` bigint" for c in columns))
+    few = [dict(zip(columns, r)) for r in distinct] if len(distinct) <= DRIVER_ROWS else None
+    return Compiled(rule_name, head, body, side, few, tuple(needed))
+
+
+def _stars(rule: Compiled) -> list[list[int]]:
+    """The body atoms by subject, where two subjects meet in more than one variable; else all in one.
+
+    Records that agree in all of several values, as under a key, are first put
+    together and then matched on all the values at once: matching value by value
+    would make every pair that agrees in one.
+    """
+    by: dict = {}
+    for i, a in enumerate(rule.body):
+        by.setdefault(a.s, []).append(i)
+    groups = list(by.values())
+    own = [{v for i in g for v in rule.body[i].variables()} - set(rule.variables) for g in groups]
+    if len(groups) == 2 and min(map(len, groups)) > 1 and len(own[0] & own[1]) > 1:
+        return groups
+    return [list(range(len(rule.body)))]
+
+
 def derive(rule: Compiled, relations: list[DataFrame]) -> DataFrame:
     """The rule's heads with each body atom read from its relation.
 
@@ -64,10 +95,13 @@ def derive(rule: Compiled, relations: list[DataFrame]) -> DataFrame:
     measured size allows.  Atoms follow in connected order.
     """
     known = rule.known()
-    rows = rule.side
-    for i in connected_order(list(rule.body), rule.variables):
-        rows = natural_join(rows, bindings(relations[i], rule.body[i], known), allow_cross=False)
-    return head_rows(rows, rule.head)
+    result = None
+    for star in _stars(rule):
+        rows = rule.side
+        for k in connected_order([rule.body[i] for i in star], rule.variables):
+            rows = natural_join(rows, bindings(relations[star[k]], rule.body[star[k]], known))
+        result = natural_join(result, rows)
+    return head_rows(result, rule.head)
 
 
 def _can_feed(rule: Compiled, atom: Atom, predicates: set[int] | None) -> bool:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import terms as T
 from loomgraph.operators.scan import bindings, complete, connected_order, name, natural_join
-from loomgraph.plans.forward import Compiled, fixpoint, with_side
+from loomgraph.plans import local
+from loomgraph.plans.forward import DRIVER_ROWS, Closure, Compiled, fixpoint, from_rows, with_side
 from loomgraph.plans.rules import Atom, Profile, Rule, is_variable, unrolled
 from loomgraph.workspace import Workspace
 
@@ -68,22 +69,38 @@ def assemble_lists(triples: DataFrame) -> DataFrame:
     return rows.select("head", F.lit(0).alias("list_id"), "pos", "el")
 
 
+#: A schema closed on the driver may grow to so many statements.
+DRIVER_CLOSED = 100_000
+
+
 class TBox:
     """The closed schema.
 
+    Up to ``DRIVER_ROWS`` statements are closed on the driver; more, or ones
+    whose closure is large, by the same rules as joins.
+
     ``statements`` may hold other triples too, only schema is used.  ``lists``
     has ``head, list_id, pos, el``; repeated rows count once, rows with a null
     element are left out, and a head can have several lists.  Without it the
     lists are assembled from the statements where a rule needs them.
     """
 
-    def __init__(self, statements: DataFrame, profile: Profile, lists: DataFrame | None = None):
+    def __init__(self, statements: DataFrame, profile: Profile, lists: DataFrame | None = None, on_driver: bool = True):
         self.spark = statements.sparkSession
         self.ws = Workspace(self.spark, "tbox")
         self.profile = profile
         self._given = lists
-        self.explicit = self.ws.save(schema_triples(statements).distinct(), "explicit")
-        self.predicates = {r["p"] for r in self.explicit.select("p").distinct().collect()}
+        self.facts: local.Facts | None = None
+        own = schema_triples(statements).distinct()
+        few = own.limit(DRIVER_ROWS + 1).collect() if on_driver else []
+        if on_driver and len(few) <= DRIVER_ROWS:
+            few = sorted(map(tuple, few))
+            self.explicit = self._frame(few)
+            self.predicates = {p for _, p, _ in few}
+        else:
+            few = None
+            self.explicit = self.ws.save(own, "explicit")
+            self.predicates = {r["p"] for r in self.explicit.select("p").distinct().collect()}
         rules = []
         for r in profile.rules:
             if r.kind == 1 and r.name.startswith(("scm-", "line-")):
@@ -98,9 +115,24 @@ class TBox:
             if grown == reachable:
                 break
             reachable = grown
+        if few is not None and all(r.rows is not None or r.body for r in live):
+            try:
+                stated = set(few) | {
+                    tuple(row[name(t)] if is_variable(t) else t for t in r.head.terms()) for r in live if not r.body for row in r.rows
+                }
+                self.facts, rounds = local.closure(stated, [(r.head, r.body) for r in live if r.body], DRIVER_CLOSED)
+                derived = sorted(self.facts.all - set(few))
+                self.closure = Closure(self.explicit, self._frame(derived), rounds)
+                self.closed = self._frame(sorted(self.facts.all))
+                return
+            except local.TooLarge:
+                self.facts = None
         self.closure = fixpoint(self.explicit, live, "tbox-closure")
         self.closed = self.ws.save(self.closure.all().distinct(), "closed")
 
+    def _frame(self, rows: list[tuple]) -> DataFrame:
+        return self.spark.createDataFrame(rows, "s bigint, p bigint, o bigint")
+
     @cached_property
     def lists(self) -> DataFrame:
         rows = self._given if self._given is not None else assemble_lists(self.explicit)
@@ -146,7 +178,10 @@ class TBox:
     @cached_property
     def compiled(self) -> list[Compiled]:
         """The rules on instances, with their bindings in the closed schema; those without any are left out."""
-        present = {r["p"] for r in self.closed.select("p").distinct().collect()}
+        if self.facts is not None:
+            present = {p for _, p, _ in self.facts.all}
+        else:
+            present = {r["p"] for r in self.closed.select("p").distinct().collect()}
         out = []
         for r in self.profile.rules:
             if not all(is_variable(a.p) or a.p in present for a in r.schema):
@@ -154,6 +189,10 @@ class TBox:
             if r.kind == 4:
                 if r.body or r.head.p not in T.SCHEMA_PREDICATES:
                     out += self._listed(r, self.closed)
+            elif r.kind > 1 and self.facts is not None:
+                rows = local.solutions(r.schema, [self.facts] * len(r.schema))
+                made = from_rows(self.spark, r.name, r.head, r.body, rows)
+                out += [made] if made else []
             elif r.kind > 1:
                 side, variables = self._schema(r.schema, self.closed)
                 made = with_side(self.spark, r.name, r.head, r.body, side, variables)
