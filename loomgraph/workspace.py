@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -44,21 +45,20 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{name}-{self._count}"
         self._count += 1
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._loomgraph_path = path
         return out
 
     def save_counted(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
-        """``save`` and the number of rows, read from the Parquet footers."""
-        out = self.save(df, name)
-        return out, out.count()
+        """``save`` and the number of rows, counted while they are written."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
