@@ -161,7 +161,7 @@ class Mixture:
             [(s, w, r, sums.get(s, (0, 0))[0]) for s, (w, r) in wanted.items()],
             "source string, target_share double, max_repeats int, available_tokens bigint",
         )
-        share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
+        share = F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy()))
         self.report = (
             asked.join(used, "source", "left")
             .na.fill(0, ["tokens", "uses", "documents", "most_uses"])
@@ -171,7 +171,7 @@ class Mixture:
     def _uses(self, counts: DataFrame, live: dict[str, Target], total: float, n: int, seed: int) -> DataFrame:
         bits = max(0, (n // BUCKET_ROWS).bit_length())
         rows = counts.where(F.col("source").isin(list(live))).withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
-        rows = rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("bigint"))
+        rows = rows.withColumn("bucket", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("bigint"))
         offsets = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
         offsets = offsets.select(
             "source",
