@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.scan import IN_LIST, bindings, complete, connected_order, head_rows, name, natural_join
 from loomgraph.plans.rules import Atom, Rule, is_variable
+from loomgraph.terms import TYPE
 from loomgraph.workspace import Workspace
 
 #: Schema bindings up to this many rows are taken to the driver, to prune with.
@@ -104,9 +105,16 @@ def derive(rule: Compiled, relations: list[DataFrame]) -> DataFrame:
     return head_rows(result, rule.head)
 
 
-def _can_feed(rule: Compiled, atom: Atom, predicates: set[int] | None) -> bool:
-    possible = rule.values(atom.p)
-    return predicates is None or possible is None or not predicates.isdisjoint(possible)
+def _can_feed(rule: Compiled, atom: Atom, fresh: set[tuple[int, int | None]] | None) -> bool:
+    """Whether new statements of these predicates, and classes for ``type``, can fit the atom."""
+    if fresh is None:
+        return True
+    possible, classes = rule.values(atom.p), rule.values(atom.o)
+    for p, c in fresh:
+        if possible is None or p in possible:
+            if p != TYPE or classes is None or c in classes:
+                return True
+    return False
 
 
 @dataclass
@@ -126,7 +134,7 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
 
     Each round joins what the last one added, at each body atom in turn, with
     everything known at the others, keeps what is new, and writes it.  A rule is
-    skipped where the added predicates cannot feed the atom.  What is known is
+    skipped where the added predicates and classes cannot feed the atom.  What is known is
     read restricted to the predicates that heads can have when looking for
     duplicates.  No rule makes new terms, so this ends.
     """
@@ -142,7 +150,7 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
     def read() -> DataFrame | None:
         return spark.read.schema(parts[0].schema).parquet(*[t._loomgraph_path for t in parts]) if parts else None
 
-    total, delta, predicates = explicit, explicit, None
+    total, delta, fresh = explicit, explicit, None
     rounds = 0
     while rules:
         new = None
@@ -155,7 +163,7 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
                 branch = [
                     derive(r, [delta if j == i else total for j in range(len(r.body))])
                     for i, a in enumerate(r.body)
-                    if _can_feed(r, a, predicates)
+                    if _can_feed(r, a, fresh)
                 ]
             for b in branch:
                 new = b if new is None else new.unionByName(b)
@@ -169,8 +177,9 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
         if not n:
             break
         parts.append(delta)
-        found = delta.select("p").distinct().limit(DRIVER_ROWS + 1).collect()
-        predicates = {x["p"] for x in found} if len(found) <= DRIVER_ROWS else None
+        kinds = delta.select("p", F.when(F.col("p") == TYPE, F.col("o")).alias("c")).distinct()
+        found = kinds.limit(DRIVER_ROWS + 1).collect()
+        fresh = {(x["p"], x["c"]) for x in found} if len(found) <= DRIVER_ROWS else None
         total = explicit.unionByName(read())
     derived = read()
     if derived is None:

@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this application's tables."""
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results not yet read are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Tables of one operator run.
 
@@ -43,7 +54,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
