@@ -2,7 +2,8 @@
 
     python -m loomgraph --triples PATH [--schema PATH] [--lists PATH] [--dictionary PATH]
         (--pattern "S P O" | --sparql FILE | --closure) [--rules PROFILE-OR-FILE]
-        [--no-reasoning] [--exclude-explicit] [--n-results N]
+        [--after-rules PROFILE-OR-FILE] [--no-reasoning] [--exclude-explicit] [--no-query-optim]
+        [--exclude-implicit-cardinality] [--lexical] [--select-all] [--n-results N]
 
 -1 in a pattern stands for any term.
 """
@@ -33,12 +34,16 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--exclude-explicit", action="store_true")
     p.add_argument("--lexical", action="store_true", help="compare literals without tags and datatypes")
     p.add_argument("--select-all", action="store_true", help="return all variables of the query")
+    p.add_argument("--after-rules", help="rules on instances, once the others have closed the schema")
+    p.add_argument("--no-query-optim", action="store_true", help="join the patterns in the order of the query")
+    p.add_argument("--exclude-implicit-cardinality", action="store_true", help="estimate by what is stated only")
     p.add_argument("--n-results", type=int, default=10)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     read = lambda path: spark.read.parquet(path) if path else None
-    profile = PROFILES.get(a.rules) or Profile(a.rules, parse_rule_file(Path(a.rules).read_text()))
-    e = Engine(read(a.triples), read(a.schema), read(a.lists), read(a.dictionary), profile)
+    rules = lambda x: PROFILES.get(x) or Profile(x, parse_rule_file(Path(x).read_text()))
+    after = rules(a.after_rules) if a.after_rules else None
+    e = Engine(read(a.triples), read(a.schema), read(a.lists), read(a.dictionary), rules(a.rules), after)
     began = time.time()
     if a.closure:
         rows = e.forward()
@@ -48,7 +53,10 @@ def main(args: list[str] | None = None) -> int:
             p.error("a pattern has three terms")
         rows = e.pattern(*terms, reason=not a.no_reasoning, exclude_explicit=a.exclude_explicit)
     else:
-        rows = e.sparql(Path(a.sparql).read_text(), not a.no_reasoning, a.lexical, a.select_all)
+        text = Path(a.sparql).read_text()
+        rows = e.sparql(
+            text, not a.no_reasoning, a.lexical, a.select_all, not a.no_query_optim, not a.exclude_implicit_cardinality
+        )
     rows = rows.cache()
     n = rows.count()
     print(f"Time execution = {(time.time() - began) * 1000:.0f}\nTriples = {n}")

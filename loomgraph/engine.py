@@ -21,7 +21,8 @@ class Engine:
 
     ``schema`` holds the schema statements if they are apart from the triples,
     ``lists`` (head, list_id, pos, el) the RDF lists, ``dictionary`` (id, text)
-    the texts that SPARQL needs.  Statements with a null term do not count and
+    the texts that SPARQL needs.  The rules of ``profile`` close the schema and,
+    unless ``after`` has others for it, conclude about instances.  Statements with a null term do not count and
     repeated ones count once.
     """
 
@@ -32,6 +33,7 @@ class Engine:
         lists: DataFrame | None = None,
         dictionary: DataFrame | None = None,
         profile: Profile = OWL2RL_SPEC,
+        after: Profile | None = None,
     ):
         self.spark = triples.sparkSession
         self.triples = complete(triples)
@@ -39,6 +41,7 @@ class Engine:
         self.lists = lists
         self.dictionary = dictionary
         self.profile = profile
+        self.after = after
 
     @property
     def explicit(self) -> DataFrame:
@@ -46,7 +49,7 @@ class Engine:
 
     @cached_property
     def tbox(self) -> TBox:
-        return TBox(self.schema if self.schema is not None else self.triples, self.profile, self.lists)
+        return TBox(self.schema if self.schema is not None else self.triples, self.profile, self.lists, after=self.after)
 
     @cached_property
     def known(self) -> DataFrame:
@@ -97,6 +100,7 @@ class Engine:
         optimise: bool = True,
         allow_cross: bool = False,
         sets: dict[str, list[int]] | None = None,
+        implicit_estimates: bool = True,
     ) -> DataFrame:
         """The solutions of a basic graph pattern: a column for each variable.
 
@@ -106,7 +110,7 @@ class Engine:
         variables to ids.
         """
         if optimise and len(atoms) > 2:  # two are joined either way; Spark picks the sides
-            order = planner.join_order(atoms, self.cardinality(atoms, implicit=reason))
+            order = planner.join_order(atoms, self.cardinality(atoms, implicit=reason and implicit_estimates))
         else:
             order = range(len(atoms))
         out = None
@@ -119,7 +123,15 @@ class Engine:
             out = natural_join(out, bindings(rows, atoms[i]), allow_cross)
         return out
 
-    def sparql(self, text: str, reason: bool = True, lexical: bool = False, select_all: bool = False) -> DataFrame:
+    def sparql(
+        self,
+        text: str,
+        reason: bool = True,
+        lexical: bool = False,
+        select_all: bool = False,
+        optimise: bool = True,
+        implicit_estimates: bool = True,
+    ) -> DataFrame:
         """The answer of a SPARQL query, as ids; columns are the selected variables.
 
         A constant that the dictionary does not know gives no rows.  One text
@@ -156,7 +168,7 @@ class Engine:
                     sets[own] = ids(t)
                     terms.append(own)
             atoms.append(Atom(*terms))
-        out = self.bgp(atoms, reason, sets=sets)
+        out = self.bgp(atoms, reason, optimise, sets=sets, implicit_estimates=implicit_estimates)
         for a, op, b in q.filters:
             out = self._filter(out, a, op, b, ids)
         out = out.select(*[name(v) for v in chosen])

@@ -82,13 +82,16 @@ class TBox:
     ``statements`` may hold other triples too, only schema is used.  ``lists``
     has ``head, list_id, pos, el``; repeated rows count once, rows with a null
     element are left out, and a head can have several lists.  Without it the
-    lists are assembled from the statements where a rule needs them.
+    lists are assembled from the statements where a rule needs them.  With
+    ``after`` its rules, not the profile's, are the ones on instances: what
+    is concluded once the schema is closed.
     """
 
-    def __init__(self, statements: DataFrame, profile: Profile, lists: DataFrame | None = None, on_driver: bool = True):
+    def __init__(self, statements: DataFrame, profile: Profile, lists: DataFrame | None = None, on_driver: bool = True, after: Profile | None = None):
         self.spark = statements.sparkSession
         self.ws = Workspace(self.spark, "tbox")
         self.profile = profile
+        self.after = after or profile
         self._given = lists
         self.facts: local.Facts | None = None
         own = schema_triples(statements).distinct()
@@ -183,7 +186,7 @@ class TBox:
         else:
             present = {r["p"] for r in self.closed.select("p").distinct().collect()}
         out = []
-        for r in self.profile.rules:
+        for r in self.after.rules:
             if not all(is_variable(a.p) or a.p in present for a in r.schema):
                 continue
             if r.kind == 4:

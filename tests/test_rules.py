@@ -247,6 +247,14 @@ def test_own_rules(spark):
     assert rows(eng.pattern(None, 600, None)) == [(a, 600, c)]
 
 
+def test_other_rules_after_the_closure(spark):
+    """The schema closes by one profile, instances follow another."""
+    eng = Engine(frame(spark, [(a, 0, C), (a, P, b)]), frame(spark, [(C, 5, D), (D, 5, E), (P, 4, Q), (P, 0, 7)]), after=R.AFTER_CLOSURE)
+    assert rows(eng.closure.derived) == [(a, 0, D), (a, 0, E), (a, Q, b)]
+    only = Engine(frame(spark, [(a, 0, C), (a, P, b)]), frame(spark, [(C, 5, D), (D, 5, E), (P, 4, Q)]), after=R.RDFS.only("cax-sco"))
+    assert rows(only.closure.derived) == [(a, 0, D), (a, 0, E)]
+
+
 def test_unknown_predicate_goal(spark):
     """A free predicate asks for everything that follows."""
     eng = Engine(frame(spark, [(a, P, b)]), frame(spark, [(P, 4, Q), (Q, 4, U)]))
