@@ -14,6 +14,7 @@ from loomgraph.plans.forward import Closure, fixpoint
 from loomgraph.plans.rules import OWL2RL_SPEC, Atom, Profile, is_variable
 from loomgraph.plans.tbox import TBox
 from loomgraph.terms import lookup
+from loomgraph.workspace import Workspace
 
 
 class Engine:
@@ -56,6 +57,19 @@ class Engine:
         """What is known before rules on instances run: the statements and the closed schema."""
         return self.explicit.unionByName(self.tbox.closure.derived)
 
+    @cached_property
+    def _settled(self) -> Engine:
+        """This engine over a computed input that has been written once, for queries of several patterns."""
+        ws = Workspace(self.spark, "engine")
+        triples = ws.settled(self.triples)
+        if triples is self.triples:
+            return self
+        out = Engine(triples, self.schema, self.lists, self.dictionary, self.profile, self.after)
+        if "tbox" in self.__dict__:
+            out.__dict__["tbox"] = self.tbox
+        out.__dict__["_settled"] = out
+        return out
+
     @cached_property
     def closure(self) -> Closure:
         """Everything that follows, derived ahead of time."""
@@ -109,6 +123,8 @@ class Engine:
         variable are refused unless ``allow_cross``.  ``sets`` restricts
         variables to ids.
         """
+        if len(atoms) > 2 and self._settled is not self:
+            return self._settled.bgp(atoms, reason, optimise, allow_cross, sets, implicit_estimates)
         if optimise and len(atoms) > 2:  # two are joined either way; Spark picks the sides
             order = planner.join_order(atoms, self.cardinality(atoms, implicit=reason and implicit_estimates))
         else:

@@ -145,12 +145,20 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
     for r in rules:
         v = r.values(r.head.p)
         heads = None if heads is None or v is None else heads | set(v)
+    # what rules can read or repeat; a computed input is written once rather than computed every round
+    needed = heads
+    for v in (r.values(a.p) for r in rules for a in r.body):
+        needed = None if needed is None or v is None else needed | set(v)
+    base = explicit
+    if needed is not None and len(needed) <= IN_LIST:
+        base = base.where(F.col("p").isin(sorted(needed)))
+    base = ws.settled(base) if rules else base
     parts: list[DataFrame] = []
 
     def read() -> DataFrame | None:
         return spark.read.schema(parts[0].schema).parquet(*[t._loomgraph_path for t in parts]) if parts else None
 
-    total, delta, fresh = explicit, explicit, None
+    total, delta, fresh = base, base, None
     rounds = 0
     while rules:
         new = None
@@ -180,7 +188,7 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
         kinds = delta.select("p", F.when(F.col("p") == TYPE, F.col("o")).alias("c")).distinct()
         found = kinds.limit(DRIVER_ROWS + 1).collect()
         fresh = {(x["p"], x["c"]) for x in found} if len(found) <= DRIVER_ROWS else None
-        total = explicit.unionByName(read())
+        total = base.unionByName(read())
     derived = read()
     if derived is None:
         derived = explicit.where("false")

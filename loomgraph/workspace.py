@@ -45,6 +45,12 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether a plan only reads and filters: reading it again costs no shuffle."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(x in plan for x in ("Aggregate", "Join", "Window", "Distinct", "Generate", "MapIn"))
+
+
 class Workspace:
     """Tables of one operator run.
 
@@ -71,6 +77,10 @@ class Workspace:
         out = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
         return out, seen.get["n"]
 
+    def settled(self, df: DataFrame, name: str = "base") -> DataFrame:
+        """A plan that is read several times: itself if it is a scan, else written once."""
+        return df if is_scan(df) else self.save(df, name)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
