@@ -110,11 +110,10 @@ def test_rule(spark, name):
 @pytest.mark.parametrize("on_driver", [True, False])
 @pytest.mark.parametrize("profile,cases", [(R.OWL2RL_SPEC, SCHEMA_CASES), (R.OWL2RL_ASIS, AS_IS)], ids=["spec", "as-is"])
 def test_schema_rules(spark, profile, cases, on_driver):
-    for name, (schema, want) in cases.items():
+    # the joins are covered by the random schemas too
+    for name, (schema, want) in list(cases.items())[: None if on_driver else 3]:
         t = TBox(frame(spark, schema), profile.only(name), on_driver=on_driver)
         assert rows(t.closure.derived) == sorted(want), name
-        if not on_driver and name > "scm-dom2":
-            break  # the joins are covered by the random schemas below
 
 
 def test_cax_eqc_as_is_says_nothing(spark):
@@ -216,9 +215,8 @@ def test_cycles_end(spark):
 
 
 def test_large_schema_takes_the_joins(spark):
-    chain = [(10_000 + i, 5, 10_001 + i) for i in range(2_100)][:2_100]
-    t = TBox(frame(spark, chain[:2050:64] + [(1, 5, 2)] * 3), R.RDFS)
-    assert t.facts is not None
+    t = TBox(frame(spark, [(10_000 + i, 5, 10_001 + i) for i in range(30)] + [(1, 5, 2)] * 3), R.RDFS)
+    assert t.facts is not None and t.closed.count() == 30 * 31 // 2 + 1
     wide = [(10_000 + i, 5, 300 + i % 3) for i in range(2_100)] + [(300, 5, 310)]
     t = TBox(frame(spark, wide), R.RDFS)
     assert t.facts is None and t.closed.count() == 2_101 + 700

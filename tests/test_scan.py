@@ -63,10 +63,8 @@ def test_bgp_order_does_not_matter(triples):
     atoms = [Atom("?x", 10, "?y"), Atom("?y", 10, "?z"), Atom("?z", 11, "?w")]
     e = Engine(triples)
     want = rows(e.bgp(atoms, reason=False).select("w", "x", "y", "z"))
-    assert want == [(2, 1, 3, 2)] or want
-    for order in ([2, 1, 0], [1, 0, 2], [0, 2, 1]):
-        if order == [0, 2, 1]:
-            continue  # not connected in this order without the planner
+    assert want == [(2, BIG, 1, 2), (BIG, 1, 2, 3), (BIG, BIG, 1, 3)]
+    for order in ([2, 1, 0], [1, 0, 2], [1, 2, 0]):
         got = e.bgp([atoms[i] for i in order], reason=False, optimise=False)
         assert rows(got.select("w", "x", "y", "z")) == want
 
@@ -82,7 +80,7 @@ def test_estimates_and_plan(triples):
     e = Engine(triples)
     atoms = [Atom("?x", 10, "?y"), Atom("?y", 11, "?z"), Atom("?z", 10, 1)]
     found = e.cardinality(atoms, implicit=False)
-    assert [x.explicit for x in found] == [6 - 2 + 1, 2, 1] or [x.explicit for x in found]
+    assert [x.explicit for x in found] == [5, 2, 1]  # repeated statements are not told apart in an estimate
     assert e.explain(atoms, reason=False).splitlines()[0].startswith("?z 10 1")
 
 
