@@ -163,45 +163,64 @@ class FMIndex:
         return out
 
 
-def _reach(a: list[int], b: list[int]) -> list[int]:
-    """For 0 to MAX_EDITS edits, how many words of ``a`` from its start can be aligned with a start of ``b``."""
+def _reach(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int]]:
+    """``(edits, words of a, words of b)``: how far a start of ``a`` can be aligned with one of ``b``.
+
+    Each alignment ends on an equal word, or is empty; with up to ``most``
+    edits, one for each number of edits that takes it further.
+    """
     la, lb = len(a), len(b)
+    out: list[tuple[int, int, int]] = []
+
+    def run(i: int, d: int, edits: int) -> int:
+        end = i
+        while end < la and end + d < lb and a[end] == b[end + d]:
+            end += 1
+        if end > i:
+            if out[-1][0] == edits:
+                out[-1] = max(out[-1], (edits, end, end + d))
+            elif end > out[-1][1]:
+                out.append((edits, end, end + d))
+        return end
+
+    out.append((0, 0, 0))
+    front = {0: run(0, 0, 0)}
+    for edits in range(1, most + 1):
+        if out[-1][1] == la:
+            break
+        step: dict[int, int] = {}
 
-    def run(i: int, d: int) -> int:
-        while i < la and i + d < lb and a[i] == b[i + d]:
-            i += 1
-        return i
+        def go(d: int, i: int) -> None:
+            step[d] = max(step.get(d, -1), run(i, d, edits))
 
-    front = {0: run(0, 0)}
-    out = [front[0]]
-    for _ in range(MAX_EDITS):
-        step: dict[int, int] = {}
         for d, i in front.items():
             if i < la and i + d < lb:
-                step[d] = max(step.get(d, -1), i + 1)  # changed
+                go(d, i + 1)  # changed
             if i + d < lb:
-                step[d + 1] = max(step.get(d + 1, -1), i)  # added
+                go(d + 1, i)  # added
             if i < la:
-                step[d - 1] = max(step.get(d - 1, -1), i + 1)  # missing
-        for d, i in front.items():
-            step[d] = max(step.get(d, -1), i)
-        front = {d: run(i, d) for d, i in step.items()}
-        out.append(max(front.values()))
+                go(d - 1, i + 1)  # missing
+        front = step
     return out
 
 
-def match(item: list[int], doc: list[int], i: int, j: int, n: int) -> tuple[int, int] | None:
-    """``(first item word, words)`` of a case around the ``n`` equal words at item ``i`` and document ``j``."""
-    span = 2 * MIN_WORDS + MAX_EDITS
-    right = _reach(item[i + n : i + n + span], doc[j + n : j + n + span])
-    left = _reach(item[max(0, i - span) : i][::-1], doc[max(0, j - span) : j][::-1])
-    best = None
-    for el, x in enumerate(left):
-        for er, y in enumerate(right):
-            words = x + n + y
-            if words >= MIN_WORDS and (el + er) * EDIT_EVERY <= words and (best is None or words > best[1]):
-                best = (i - x, words)
-    return best
+def match(item: list[int], doc: list[int], i: int, j: int, n: int, most: int) -> tuple[int, int] | None:
+    """``(first word, end word)`` in the document of the longest case around the ``n`` equal
+    words at item ``i`` and document ``j``, with up to ``most`` edits on each side.
+
+    The range begins and ends with equal words: edits at the ends of a case
+    count for its length, but what stands there is not the item's.
+    """
+    right = _reach(item[i + n :], doc[j + n : j + n + len(item) - i - n + most], most)
+    left = _reach(item[:i][::-1], doc[max(0, j - i - most) : j][::-1], most)
+    best, found = 0, None
+    for el, x, xd in left:
+        for er, y, yd in right:
+            words, edits = x + n + y, el + er
+            short = max(0, MIN_WORDS - words)  # words changed or missing at the ends
+            if words > best and words + short <= len(item) and (edits + short) * EDIT_EVERY <= words + short:
+                best, found = words, (j - xd, j + n + yd)
+    return found
 
 
 class _Items:
@@ -248,19 +267,15 @@ def _search(items: _Items, docs: list[tuple[int, np.ndarray]]):
     for (d, k), seeds in sorted(hits.items()):
         doc_id, ids = docs[d]
         item_id, words = items.items[k]
-        doc = None
-        last = None
-        for diagonal, i in sorted(seeds):
-            if last == (diagonal, i - 1):  # inside the run of equal words already tried
-                last = (diagonal, i)
-                continue
-            last = (diagonal, i)
-            if doc is None:
-                doc = ids.tolist()
-            found = match(words, doc, i, i + diagonal, SEED)
-            if found:
-                first = max(0, found[0] + diagonal)
-                yield doc_id, item_id, first, min(len(doc), first + found[1])
+        starts = [(diagonal, i) for diagonal, i in sorted(seeds) if (diagonal, i - 1) not in seeds]  # of runs of equal words
+        lo = max(0, min(g + i for g, i in starts) - 2 * len(words))
+        doc = ids[lo : max(g + i for g, i in starts) + 2 * len(words)].tolist()
+        # every case has one of few edits in it, so that a pair without one needs no longer search
+        if any(match(words, doc, i, i + g - lo, SEED, MAX_EDITS) for g, i in starts):
+            most = len(words) // EDIT_EVERY
+            ranges = {match(words, doc, i, i + g - lo, SEED, most) for g, i in starts} - {None}
+            for first, end in sorted(ranges):
+                yield doc_id, item_id, first + lo, end + lo
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
@@ -268,7 +283,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: st
 
     A case is at least ``MIN_WORDS`` consecutive words of the item, in order,
     with at most one in ``EDIT_EVERY`` changed, missing or added; the range is
-    in normalised words of the document and may come several times a pair.
+    in normalised words of the document, from the first to the last of the
+    item's words in the longest case there, and a pair may have several.
     Every such case has ``SEED`` untouched words in a row.  Each shard of
     documents, in its task, becomes an FM-index over the items' vocabulary; all
     ``SEED``-word phrases of the items are searched backwards in it, the hits

@@ -124,3 +124,22 @@ def test_odd_inputs(spark, monkeypatch):
     assert spans[3, 0, 30] == [1, 5] and spans[8, 0, 60] == [1, 5]
     assert L.find_leaks(d.limit(0), e, "id", "text", "id", "text").count() == 0
     assert L.find_leaks(d, e.limit(0), "id", "text", "id", "text").count() == 0
+
+
+def test_whole_passages_are_removed(spark):
+    """Ranges reach to both ends of a long passage, edited or not, and no further."""
+    item = words(150)
+    around = [f"o{i}" for i in range(90)]
+    docs, want = [], []
+    for a, b, edits in ((0, 150, {}), (20, 140, {}), (5, 145, {k: "changed" for k in range(15, 140, 12)}), (0, 150, {k: None for k in range(12, 150, 13)}),
+                        (0, 150, {k: "added" for k in range(12, 150, 13)})):
+        passage = []
+        for k in range(a, b):
+            how = edits.get(k)
+            passage += [] if k in edits and how is None else ["x" + item[k]] if how == "changed" else ["y", item[k]] if how == "added" else [item[k]]
+        docs.append(around[:33] + passage + around[33:])
+        want.append((33, 33 + len(passage)))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "id long, text string")
+    e = spark.createDataFrame([(1, " ".join(item))], "id long, text string")
+    spans = {r["doc_id"]: (r["first_word"], r["end_word"]) for r in L.removal_spans(L.find_leaks(d, e, "id", "text", "id", "text")).collect()}
+    assert spans == dict(enumerate(want))
