@@ -144,9 +144,15 @@ class Hierarchy:
         return straight.unionByName(cyclic)
 
     def descendants(self) -> DataFrame:
-        """``(relation, node_id, descendant_id)``: every pair once, read off the
-        ancestor prefixes of the paths; cyclic nodes have no pairs as descendants."""
-        return (
+        """``(relation, node_id, descendant_id)``: every pair once of a node and a node that
+        a walk of one or more links leads down to; a node on a cycle is below itself.
+
+        Pairs with a lower node that is not cyclic are read off the ancestor
+        prefixes of the paths.  The nodes above a cyclic node are cyclic, or
+        are above a link into the cyclic part: closed inside that part, the
+        pairs are then joined with what is above those links.
+        """
+        straight = (
             self.paths.where(F.size("ids") > 1)
             .select(
                 "relation",
@@ -155,3 +161,48 @@ class Hierarchy:
             )
             .distinct()
         )
+        into = self.ws.save(self.edges.join(self.cyclic.withColumnRenamed("node_id", "child"), ["relation", "child"], "left_semi"), "into")
+        upper = self.cyclic.withColumnRenamed("node_id", "parent")
+        inside = self._closed(
+            into.join(upper, ["relation", "parent"], "left_semi").select("relation", F.col("parent").alias("top"), F.col("child").alias("bottom"))
+        )
+        entering = into.join(upper, ["relation", "parent"], "left_anti")
+        above = entering.join(straight.withColumnsRenamed({"node_id": "top", "descendant_id": "parent"}), ["relation", "parent"])
+        entries = self.ws.save(
+            entering.select("relation", F.col("parent").alias("top"), "child").union(above.select("relation", "top", "child")).distinct(), "entries"
+        )
+        below = entries.join(inside.withColumnRenamed("top", "child"), ["relation", "child"]).select("relation", "top", "bottom")
+        crossing = entries.withColumnRenamed("child", "bottom").select("relation", "top", "bottom").union(below).distinct()
+        return straight.union(inside.union(crossing))
+
+    def _closed(self, links: DataFrame) -> DataFrame:
+        """``(relation, top, bottom)``: the transitive closure of distinct links, semi-naive.
+
+        A round adds up to ``h`` links to the pairs found in the last one;
+        ``h`` doubles first, while the table of steps stays small.
+        """
+        step, n = self.ws.save_counted(links, "below")
+        most = GROWTH * n
+        while n:
+            twice = step.union(self._joined(step, step)).distinct()
+            twice, m = self.ws.save_counted(twice, "below")
+            if m == n:
+                return step
+            if m > most:
+                break
+            step, n = twice, m
+        found, new = [step], step
+        while n:
+            every = self.spark.read.schema(step.schema).parquet(*[t._loomgraph_path for t in found])
+            added = self._joined(new, step).distinct().join(every, ["relation", "top", "bottom"], "left_anti")
+            new, n = self.ws.save_counted(added, "below")
+            if n:
+                found.append(new)
+        return self.spark.read.schema(step.schema).parquet(*[t._loomgraph_path for t in found])
+
+    def _joined(self, upper: DataFrame, lower: DataFrame) -> DataFrame:
+        return (
+            upper.withColumnRenamed("bottom", "middle")
+            .join(lower.withColumnRenamed("top", "middle"), ["relation", "middle"])
+            .select("relation", "top", "bottom")
+        )

@@ -64,7 +64,7 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of a node and a node below it, outside of cycles."""
+    """Every pair of a node and a node below it, on and below cycles too."""
     return _hierarchy(spark, d).descendants()
 
 

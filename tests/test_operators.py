@@ -145,3 +145,22 @@ def test_only_cycles_and_nothing(spark):
     assert got == [("a", 1, "cycle"), ("a", 2, "cycle"), ("a", 3, "cycle"), ("a", 9, "9")]
     h, got = found(spark, [(None, 1, 2)])
     assert got == [] and h.descendants().count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_descendants_on_and_below_cycles(spark, monkeypatch, seed):
+    from loomgraph.operators import hierarchy
+
+    if seed == 2:  # no doubling
+        monkeypatch.setattr(hierarchy, "GROWTH", 1)
+    rnd = random.Random(seed)
+    # an ordinary root over a ring with a tree below it, and a random graph
+    links = [("a", 1, 0), ("a", 2, 1)] + [("a", 10 + i, 10 + (i + 1) % 7) for i in range(7)] + [("a", 12, 2), ("a", 20, 15), ("a", 21, 20), ("a", 22, 2)]
+    links += [("b", rnd.randrange(20), rnd.randrange(20)) for _ in range(24)]
+    want = {(r, p, c) for r, c, p in links if p != c}
+    while more := {(r, u, v) for r, u, w in want for q, x, v in want if (r, w) == (q, x)} - want:
+        want |= more
+    df = spark.createDataFrame(links, "relation string, child long, parent long")
+    got = [tuple(r) for r in Hierarchy(df).descendants().select("relation", "node_id", "descendant_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("a", 0, 16) in want and ("a", 10, 10) in want and ("a", 13, 21) in want
