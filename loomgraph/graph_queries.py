@@ -324,24 +324,18 @@ def tbox_lists(spark, d):
 @query("""WITH l AS (SELECT DISTINCT head, pos, el FROM lists WHERE list_id = 0 AND head IS NOT NULL AND el IS NOT NULL AND pos IS NOT NULL),
 k AS (SELECT head, row_number() OVER (PARTITION BY head ORDER BY pos, el) - 1 AS pos, el FROM l) SELECT head, CAST(pos AS INT) AS pos, el FROM k""")
 def list_assembly(spark, d):
-    """Lists written as first and rest statements, and put together again."""
+    """Lists written as first and rest statements, and put together again: every list of every head."""
     from pyspark.sql import Window
 
-    rows = table(spark, d, "lists").where("list_id = 0").select("head", "pos", "el").na.drop().distinct()
-    w = Window.partitionBy("head").orderBy("pos", "el")
-    rows = rows.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("head")))
-
-    def cell(k):
-        # the first cell is the head, later ones get ids of their own
-        return F.when(k == 0, F.col("head")).otherwise(F.lit(1 << 62) + F.col("head") % F.lit(10**15) * 1000 + k)
-
-    k = F.col("k")
-    first = rows.select(cell(k).alias("s"), F.lit(T.FIRST).cast("bigint").alias("p"), F.col("el").alias("o"))
-    rest = rows.select(
-        cell(k).alias("s"), F.lit(T.REST).cast("bigint").alias("p"), F.when(k + 1 < F.col("n"), cell(k + 1)).otherwise(F.lit(T.NIL)).alias("o")
-    )
-    out = assemble_lists(first.unionByName(rest))
-    return out.select("head", "pos", "el")
+    rows = table(spark, d, "lists").select("head", "list_id", "pos", "el").na.drop().distinct()
+    # each list has a first cell of its own, as a head can have several
+    rows = Workspace(spark, "list_cells").save(rows.withColumn("cell", F.lit(1 << 62) + F.monotonically_increasing_id()), "cells")
+    w = Window.partitionBy("head", "list_id").orderBy("pos", "el")
+    cells = rows.select("cell", "el", F.coalesce(F.lead("cell").over(w), F.lit(T.NIL)).alias("next"))
+    first = cells.select(F.col("cell").alias("s"), F.lit(T.FIRST).cast("bigint").alias("p"), F.col("el").alias("o"))
+    rest = cells.select(F.col("cell").alias("s"), F.lit(T.REST).cast("bigint").alias("p"), F.col("next").alias("o"))
+    out = assemble_lists(first.unionByName(rest)).select(F.col("head").alias("cell"), "pos", "el")
+    return out.join(rows.select("cell", "head", "list_id"), "cell").select("head", "list_id", "pos", "el")
 
 
 # (class or property ids of the small schemas below are free ones from 300 on)

@@ -259,3 +259,12 @@ def test_unknown_predicate_goal(spark):
     assert {t[1] for t in rows(eng.pattern(a, None, b))} == {P, Q, U}
     assert rows(eng.pattern(None, Q, None, exclude_explicit=True)) == [(a, Q, b)]
     assert rows(eng.bgp([Atom(a, "?p", "?x")]).select("p", "x")) == [(P, b), (Q, b), (U, b)]
+
+
+def test_list_assembly_has_every_list_of_a_head(spark, tmp_path):
+    from loomgraph.graph_queries import list_assembly
+
+    data = [(7, 0, 5, 70), (7, 0, 2, 71), (7, 1, 0, 72), (7, 1, 1, 70), (7, 1, 1, 70), (7, 1, 4, None), (8, 1, 0, 7), (10**15 + 7, 0, 0, 73), (9, 0, 0, None)]
+    spark.createDataFrame(data, "head long, list_id int, pos int, el long").write.parquet(f"{tmp_path}/lists.parquet")
+    got = sorted(tuple(r) for r in list_assembly(spark, str(tmp_path)).select("head", "list_id", "pos", "el").collect())
+    assert got == [(7, 0, 0, 71), (7, 0, 1, 70), (7, 1, 0, 72), (7, 1, 1, 70), (8, 1, 0, 7), (10**15 + 7, 0, 0, 73)]
