@@ -272,11 +272,10 @@ def outlier_scores(documents: DataFrame, doc_id: str, text: str, lang: str) -> D
 
 
 def shaped_documents(scored: DataFrame, share: float = 0.5) -> DataFrame:
-    """``(doc_id, shape)`` of the documents whose shape shares stand out in their language.
+    """``(doc_id, shape)`` of the documents more than ``share`` of whose characters are of a shape.
 
-    A document is a candidate where the tail probability of a shape's share is
-    below that of no such content at all, which always holds for a share above
-    zero; the exact check, more than ``share`` of the characters, follows.
+    The exact check alone decides: a right tail is at most n / (n + 1), so the
+    test of the tail holds for every document, and the score is not read.
     """
     shape = F.coalesce(
         *[F.when((F.col(f"{s}_tail") < 1.0) & (F.col(f"{s}_share") > share), F.lit(s)) for s in SHAPES]
