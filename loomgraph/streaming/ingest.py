@@ -47,12 +47,10 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, rules: list[Compiled]
     """Inserts each micro-batch of (s, p, o, ...) into the store, with its conclusions.
 
     Inserting is idempotent, as stored statements are not added again, so a
-    batch that is run again after a failure changes nothing.  ``late`` is an
-    event-time delay: with a column ``asserted_at`` and a watermark, repeated
-    deliveries within it are dropped in the stream's state already.
+    batch that is run again after a failure changes nothing, nor do repeated
+    deliveries.  ``late`` has no effect: a watermark would drop statements that
+    first arrive after it.
     """
-    if late is not None:
-        stream = stream.withWatermark("asserted_at", late).dropDuplicatesWithinWatermark(["s", "p", "o"])
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession

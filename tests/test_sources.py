@@ -100,3 +100,18 @@ def test_rates(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["p"], r["n"]) for r in spark.sql("SELECT * FROM rates").collect()] == [(5, 2)]
+
+
+def test_late_first_deliveries_are_ingested(spark, tmp_path):
+    """Statements far older than the watermark come in, repeated ones once."""
+    from loomgraph.sources.store import read_store, write_store
+    from loomgraph.streaming.ingest import ingest
+
+    schema = "s long, p long, o long, asserted_at timestamp"
+    at, store, source = "CAST(asserted_at AS timestamp) asserted_at", str(tmp_path / "store"), str(tmp_path / "in")
+    write_store(spark.createDataFrame([(0, 100, 0)], "s long, p long, o long"), store)
+    for day, row in (("2024-06-01", 1), ("2024-06-02", 2), ("2024-01-01", 3), ("2024-06-02", 2)):
+        spark.createDataFrame([(row, 100, row, day)], "s long, p long, o long, asserted_at string").selectExpr("s", "p", "o", at).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ingest(stream, store, str(tmp_path / "checkpoint"), late="2 days").awaitTermination()
+    assert sorted(tuple(r) for r in read_store(spark, store).select("s", "p", "o").collect()) == [(i, 100, i) for i in range(4)]
