@@ -84,7 +84,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The word ranges to remove from each document, with the items they come from."""
+    """The character ranges to remove from each document, with the items they come from."""
     return leakage.removal_spans(_leaks(spark, d))
 
 
@@ -98,15 +98,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
 
+def _quality(spark: SparkSession, d: str) -> tuple[quality.Quality, quality.ShapeModel]:
+    q = quality.Quality(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return q, q.fit(table(spark, d, "labels"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that are mostly lists, tables or junk."""
-    scored = quality.outlier_scores(table(spark, d, "documents"), "doc_id", "text", "lang")
-    return quality.shaped_documents(scored)
+    q, model = _quality(spark, d)
+    return quality.shaped_documents(q.scores(model), model)
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """All statistics, the outlier score and the tails of every document."""
-    return quality.outlier_scores(table(spark, d, "documents"), "doc_id", "text", "lang")
+    """All statistics, the outlier score and the score of each shape for every document."""
+    q, model = _quality(spark, d)
+    return q.scores(model)
 
 
 def queries() -> dict:

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-#: Characters that are taken apart at once; word lists of longer texts would not fit a worker.
+#: Characters that are taken at once, about; word lists of longer texts would not fit a worker.
 PIECE = 1 << 22
 
 
-def pieces(text: str, separators: tuple[str, ...]) -> Iterator[str]:
-    """The text in pieces of at most ``PIECE`` characters, cut after the last of the first
-    separator that occurs in a piece; one without any is cut where it is full."""
+def pieces(text: str, separator: str) -> Iterator[str]:
+    """The text in pieces that end with a separator, of ``PIECE`` characters or as many more as it
+    takes: what lies between two separators is never cut."""
     at = 0
     while len(text) - at > PIECE:
-        cut = at + PIECE
-        for s in separators:
-            k = text.rfind(s, at + PIECE // 2, cut)
-            if k >= 0:
-                cut = k + len(s)
+        k = text.rfind(separator, at, at + PIECE)
+        if k <= at:
+            k = text.find(separator, at + PIECE)
+            if k < 0:
                 break
-        yield text[at:cut]
-        at = cut
+        yield text[at : k + len(separator)]
+        at = k + len(separator)
     yield text[at:] if at else text

@@ -2,6 +2,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from loomgraph.llm import mixing, quality
@@ -144,43 +145,114 @@ def test_very_long_lines_are_linear():
 
 def test_statistics():
     text = "The cat sat.\n\n- one\n- two and (three)!\n"
-    got = dict(zip(quality.STATISTICS, quality.document_statistics(text)))
-    assert got["word_count"] == 7 and got["mean_word_length"] == round(23 / 7, 4)
-    assert got["symbol_ratio"] == round(6 / len(text), 4) and got["punctuated_lines"] == round(2 / 3, 4)
-    assert got["common_words"] == round(2 / 7, 4)
-    assert quality.document_statistics("") == (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    got = dict(zip(quality.STATISTICS, quality.document_statistics(text)[0]))
+    n = len(text)
+    want = {
+        "word_count": 7, "mean_word_length": 23 / 7, "symbol_ratio": 6 / n, "punctuated_lines": 2 / 3, "common_words": 2 / 7,
+        "letter_ratio": 23 / n, "digit_ratio": 0, "space_ratio": 10 / n, "separator_ratio": 0, "bracket_ratio": 2 / n,
+        "distinct_characters": len(set(text)) / n**0.5, "mean_line_length": 35 / 3, "short_line_share": 35 / n, "long_line_share": 0, "marked_lines": 2 / 3,
+    }
+    assert got == {k: round(v, 4) for k, v in want.items()}
+    assert quality.document_statistics("") == ([0.0] * 15, [0.0] * 3)
 
 
-def test_outlier_scores_against_brute_force(spark):
+def test_long_texts_add_up(monkeypatch):
+    from loomgraph.llm import text
+
+    t = "\n\n".join(SHAPES["list"] + SHAPES["table"] + SHAPES["junk"] + [PROSE, CODE] * 5)
+    whole = quality.document_statistics(t)
+    monkeypatch.setattr(text, "PIECE", 300)
+    assert quality.document_statistics(t) == whole
+
+
+def test_prose_of_other_scripts_and_verse():
+    texts = [
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所でニャーニャー泣いていた事だけは記憶している。吾輩はここで始めて人間というものを見た。",
+        "人之初，性本善。性相近，习相远。苟不教，性乃迁。教之道，贵以专。昔孟母，择邻处。子不学，断机杼。窦燕山，有义方。教五子，名俱扬。养不教，父之过。教不严，师之惰。子不学，非所宜。",
+        "กาลครั้งหนึ่งนานมาแล้วมีชายคนหนึ่งอาศัยอยู่ในหมู่บ้านเล็กๆใกล้แม่น้ำเขามีลูกสาวสามคนและทุกคนช่วยกันทำงานในทุ่งนาทุกวันจนกระทั่งพระอาทิตย์ตกดิน",
+    ]
+    for t in texts:
+        assert quality.document_statistics(t)[1] == [0.0, 0.0, 0.0], t[:20]
+        assert quality.document_statistics("\n\n".join([t] * 9))[1] == [0.0, 0.0, 0.0], t[:20]
+    assert quality.document_statistics("あ" * 700)[1][2] == 1.0
+
+
+def labelled(spark):
     rnd = random.Random(8)
-    texts = SHAPES["list"] + SHAPES["table"] + SHAPES["junk"] + [PROSE * rnd.randrange(1, 6) for _ in range(25)] + [CODE * rnd.randrange(1, 4) for _ in range(15)] + ["", "", "x" * 1_000_000]
-    rows = [(i, t, rnd.choice(["en", "EN ", "de-DE", None, ""])) for i, t in enumerate(texts)] + [(500, None, "en"), (None, "text", "en"), (501, "alone", "pt")]
+    rows, shapes = [], []
+    for i in range(400):
+        s = rnd.choice(["list", "table", "junk", "prose", "prose", "code", "mixed"])
+        if s in SHAPES:
+            t = "\n\n".join(rnd.choice(SHAPES[s]) for _ in range(rnd.randrange(1, 4)))
+        else:
+            t = {"prose": PROSE * rnd.randrange(3, 20), "code": CODE * rnd.randrange(3, 12), "mixed": (PROSE + "\n\n" + CODE) * rnd.randrange(2, 6)}[s]
+        rows.append((i, t, rnd.choice(["en", "EN ", "de-DE", None, ""])))
+        shapes.append((i, s))
+    return rows, shapes
+
+
+def test_ranks_decide(spark):
+    """Scores made of the ranks choose the documents; the exact check only follows."""
+    rows, shapes = labelled(spark)
+    # verse in short lines: its shares say list, its ranks prose
+    verse = "\n".join(["The woods are deep", "and they are old", "as we go from there", "with all of this snow"] * 4)
+    rows += [(1000 + i, verse, "en") for i in range(30)]
+    shapes += [(1000 + i, "prose") for i in range(10)]
+    rows += [(500, None, "en"), (None, "text", "en"), (501, "alone", "pt"), (502, "", "en"), (503, "x" * 1_000_000, "en")]
+    df = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, lang string, value double, statistic int")
+    labels = spark.createDataFrame([*shapes, (None, "list"), (3, None), (77_777, "junk")], "doc_id long, shape string")
+    q = quality.Quality(df, "doc_id", "text", "lang")
+    model = q.fit(labels)
+    assert model.fitted == 205 and model.held_out == 205 and model.recall >= 0.9 and model.precision >= 0.9
+    scored = q.scores(model)
+    got = {r["doc_id"]: r["shape"] for r in quality.shaped_documents(scored, model).collect()}
+    want = {i: s for i, s in shapes if s in SHAPES} | {503: "junk"}
+    assert got == want
+    # without the ranks the verse would be there too
+    model.cut = -math.inf
+    assert set(quality.shaped_documents(scored, model).select("doc_id").toPandas()["doc_id"]) == set(want) | set(range(1000, 1030))
+    # nothing to fit on: all pass to the exact check
+    none = q.fit(labels.limit(0))
+    assert none.cut == -math.inf and quality.shaped_documents(q.scores(none), none).count() == len(want) + 30
+
+
+def test_outlier_scores_against_brute_force(spark):
+    rows, shapes = labelled(spark)
+    rows = rows[:60] + [(500, None, "en"), (None, "text", "en"), (501, "alone", "pt"), (502, "", "en"), (504, "", "en")]
     df = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, lang string, value double, statistic int")
-    got = {r["doc_id"]: r for r in quality.outlier_scores(df, "doc_id", "text", "lang").collect()}
+    q = quality.Quality(df, "doc_id", "text", "lang")
+    model = quality.fit_model(np.random.default_rng(1).random((40, 30)), ["list", "prose", "junk", "table"] * 10, np.arange(40) % 2 == 1)
+    got = {r["doc_id"]: r for r in q.scores(model).collect()}
 
     def language(x):
         return (x or "").strip().lower().split("-")[0] or "und"
 
-    kept = {i: (language(g), quality.document_statistics(t)) for i, t, g in rows if i is not None and t is not None}
+    kept = {i: (language(g), quality.document_statistics(t)[0]) for i, t, g in rows if i is not None and t is not None}
     assert set(got) == set(kept)
+    every, k = [v for _, v in kept.values()], quality.PSEUDO_DOCUMENTS
     for i, (g, own) in kept.items():
         peers = [v for h, v in kept.values() if h == g]
-        left = sum(-math.log(sum(p[k] <= own[k] for p in peers) / (len(peers) + 1)) for k in range(len(own)))
-        right = sum(-math.log(sum(p[k] >= own[k] for p in peers) / (len(peers) + 1)) for k in range(len(own)))
-        assert got[i]["outlier_score"] == pytest.approx(max(left, right)), i
-        assert got[i]["junk_tail"] == pytest.approx(sum(p[7] >= own[7] for p in peers) / (len(peers) + 1))
-    shaped = {r["doc_id"]: r["shape"] for r in quality.shaped_documents(quality.outlier_scores(df, "doc_id", "text", "lang")).collect()}
-    n = [len(SHAPES[s]) for s in quality.SHAPES]
-    want = {i: s for s, at in zip(quality.SHAPES, (0, n[0], n[0] + n[1])) for i in range(at, at + len(SHAPES[s]))}
-    want[len(texts) - 1] = "junk"
-    assert shaped == want
-    assert quality.outlier_scores(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+        def tail(j, fits):
+            n, all_n = sum(fits(p[j], own[j]) for p in peers), sum(fits(p[j], own[j]) for p in every)
+            return -math.log((n + k * all_n / len(every)) / (len(peers) + k))
+
+        left = [tail(j, lambda a, b: a <= b) for j in range(len(own))]
+        right = [tail(j, lambda a, b: a >= b) for j in range(len(own))]
+        assert got[i]["outlier_score"] == pytest.approx(max(sum(left), sum(right))), i
+        f = np.array([x for p in zip(left, right) for x in p])
+        for n, s in enumerate(quality.SHAPES):
+            assert got[i][f"{s}_score"] == pytest.approx(float(f @ (model.weights[n] - model.weights[-1]) + model.bias[n] - model.bias[-1])), i
+    empty = quality.Quality(df.limit(0), "doc_id", "text", "lang")
+    assert empty.scores(model).count() == 0 and empty.fit(spark.createDataFrame(shapes, "doc_id long, shape string")).cut == -math.inf
 
 
 def test_labels_hold(spark, data):
     """Agreement with the hand labels of the sample."""
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    labels = {r["doc_id"]: r["shape"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    got = {r["doc_id"]: r["shape"] for r in quality.shaped_documents(quality.outlier_scores(docs, "doc_id", "text", "lang")).collect()}
+    docs, known = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    labels = {r["doc_id"]: r["shape"] for r in known.collect()}
+    q = quality.Quality(docs, "doc_id", "text", "lang")
+    model = q.fit(known)
+    got = {r["doc_id"]: r["shape"] for r in quality.shaped_documents(q.scores(model), model).collect()}
     right = sum(got.get(i) == (s if s in quality.SHAPES else None) for i, s in labels.items())
     assert right >= 0.97 * len(labels)
