@@ -369,22 +369,27 @@ def _search(items: _Items, docs: list[tuple[int, np.ndarray, object]]):
     known = (items.phrases <= tokens.max()).all(axis=1)
     lo, hi = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
     lo[known], hi[known] = index.search(items.phrases[known])
-    found = np.flatnonzero(hi > lo)
-    places = np.diff(items.first_place)
+    # each place of the shard begins one phrase at most
+    size = hi - lo
+    phrase = np.repeat(np.arange(len(size)), size)
+    j = where[index.locate(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[phrase])]
+    # a phrase of many items makes a hit with each of them: they are made in bounded numbers
+    many = np.diff(items.first_place)[phrase]
+    upto = np.cumsum(many)
     hits = defaultdict(set)
-    # a phrase that stands in many items and documents makes a hit for each two of them: they are made in bounded numbers
-    for p in found.tolist():
-        step = max(1, HITS // int(places[p]))
-        for a in range(int(lo[p]), int(hi[p]), step):
-            j = where[index.locate(np.arange(a, min(a + step, int(hi[p]))))]
-            k = np.arange(items.first_place[p], items.first_place[p + 1])
-            j, k = np.repeat(j, len(k)), np.tile(k, len(j))
-            good = _promising(items, words, items.place[k], j)
-            d = np.searchsorted(begins, j[good], "right") - 1
-            for d, k, j in zip(d.tolist(), k[good].tolist(), (j[good] - begins[d]).tolist()):
-                item = int(items.owner[k])
-                i = int(items.place[k]) - items.starts[item]
-                hits[d, item].add((j - i, i))
+    a = 0
+    while a < len(j):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - many[a] + HITS, "right")))
+        n = many[a:b]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(items.first_place[phrase[a:b]], n)
+        places = np.repeat(j[a:b], n)
+        good = _promising(items, words, items.place[k], places)
+        d = np.searchsorted(begins, places[good], "right") - 1
+        for d, k, at in zip(d.tolist(), k[good].tolist(), (places[good] - begins[d]).tolist()):
+            item = int(items.owner[k])
+            i = int(items.place[k]) - items.starts[item]
+            hits[d, item].add((at - i, i))
+        a = b
     for (d, k), seeds in sorted(hits.items()):
         ids = docs[d][1]
         item_id, own = items.items[k]
