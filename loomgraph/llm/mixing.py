@@ -48,41 +48,63 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, source: str, toke
 
 @dataclass
 class Target:
-    """What a source shall give: its share of the mixture, its cap, and its schedule.
+    """What a source shall give: its share among the sources with tokens, its cap, its demand in tokens, and its schedule.
 
-    The source's weight at time t, from 0 to 1, is ``share * (1 + slope * (2t - 1))``.
+    ``weight`` is the demand's part of the total.  The source's weight at time
+    t, from 0 to 1, is ``weight * (1 + slope * (2t - 1))``.
     """
 
     share: float
     max_repeats: int
     available: int = 0
-    slope: float = 0.0
     demand: float = 0.0
+    weight: float = 0.0
+    slope: float = 0.0
+
+    @property
+    def most(self) -> float:
+        return float(self.max_repeats * self.available)
 
 
-def plan(targets: dict[str, tuple[float, int]], available: dict[str, int], total: float | None, ramp: float) -> tuple[dict[str, Target], float]:
-    """Shares, caps, slopes and token demand of every source that has tokens.
+def plan(targets: dict[str, tuple[float, int]], available: dict[str, int], total: float | None, ramp: float, exact_shares: bool = False) -> tuple[dict[str, Target], float]:
+    """The sources that have tokens with their demands, and the total that these make.
 
     The shares of sources without any token are spread over the others in
-    proportion.  ``total`` defaults to the largest total at which every source
-    can meet its share within its cap; a larger one is cut to that, so shares
-    hold exactly.  Sources that may be repeated more come later: the slopes are
-    proportional to the caps less their weighted mean, at most ``ramp``, so the
-    weights add up to 1 at all times.
+    proportion.  ``total`` defaults to all tokens that the sources hold.  Each
+    source gives its share of it; one whose share is more than its cap allows
+    gives all that it can, and what is missing is spread over the others in
+    proportion to their shares, until the total is met or all sources are
+    exhausted.  Only with ``exact_shares`` the total is cut instead to the
+    largest one at which every share holds within its cap.
+
+    Sources that may be repeated more come later: the slopes are proportional to
+    the caps less their weighted mean, at most ``ramp``, so the weights add up
+    to 1 at all times.
     """
     live = {s: Target(w, r, available[s]) for s, (w, r) in targets.items() if available.get(s) and w > 0 and r > 0}
-    scale = sum(t.share for t in live.values())
     if not live:
         return {}, 0.0
+    scale = sum(t.share for t in live.values())
     for t in live.values():
         t.share /= scale
-    most = min(t.max_repeats * t.available / t.share for t in live.values())
-    total = most if total is None else min(total, most)
-    mean = sum(t.share * t.max_repeats for t in live.values())
+    total = float(sum(t.available for t in live.values())) if total is None else float(total)
+    if exact_shares:
+        total = min(total, *(t.most / t.share for t in live.values()))
+    left, open_ = total, dict(live)
+    while open_:
+        rate = left / sum(t.share for t in open_.values())
+        full = [s for s, t in open_.items() if t.share * rate >= t.most]
+        for s in full or list(open_):
+            t = open_.pop(s)
+            t.demand = min(t.most, t.share * rate)
+            left = max(0.0, left - t.demand)
+    total = sum(t.demand for t in live.values())
+    for t in live.values():
+        t.weight = t.demand / total if total else 0.0
+    mean = sum(t.weight * t.max_repeats for t in live.values())
     spread = max(abs(t.max_repeats - mean) for t in live.values()) or 1.0
     for t in live.values():
         t.slope = ramp * (t.max_repeats - mean) / spread
-        t.demand = t.share * total
     return live, total
 
 
@@ -92,24 +114,30 @@ def _by_source(values: dict[str, float]) -> Column:
 
 
 class Mixture:
-    """Documents combined so that each source has its target share of all tokens.
+    """Documents combined so that each source has its target share of all tokens, as far as its cap allows.
 
     ``documents``: ``(doc_id, source, epoch, tokens, position)``, one row a use,
     in training order; ``position`` is the token position of the use's start.
-    ``report``: ``(source, target_share, actual_share, tokens, uses, documents,
-    available_tokens, max_repeats, most_uses)`` for every target.
+    ``report``: for every target ``(source, target_share, normalised_share,
+    planned_share, actual_share, tokens, uses, documents, available_tokens,
+    max_repeats, most_uses, missing_tokens)``: the share that was asked for, the
+    same among the sources that have tokens, the one left by the caps, and the
+    one of the mixture; ``missing_tokens`` is what the cap keeps from the
+    normalised share of ``total_tokens``.  See ``plan`` for what happens then.
 
     Each source's weight schedule is integrated over time to its cumulative
     token demand.  The source's documents, in a hash order, fill cumulative
     tokens, epoch after epoch up to the cap; inverting the demand turns a use's
     cumulative tokens into the time of its training position, and one range
     sort by position gives the order.  A use is taken when it starts below the
-    demand, so a source exceeds it by less than one document.
+    demand, so a source exceeds it by less than one document, and the actual
+    share differs from the planned one by as much.
 
     Cumulative tokens are prefix sums without any large window: hash buckets of
-    about ``BUCKET_ROWS`` rows are summed, the short table of bucket sums is
-    accumulated, and inside a bucket the rows are.  A source with most rows is
-    spread over its buckets.  Equal hashes are ordered by id.
+    about ``BUCKET_ROWS`` rows are summed, the bucket sums are accumulated in
+    groups of as many buckets as there are groups, and inside a bucket the rows
+    are.  A source with most rows is spread over its buckets.  Equal hashes are
+    ordered by id.
 
     Documents without id, text or source, of no target, or with no token are
     not used.  Targets with a null or zero share, or no documents, are reported
@@ -128,6 +156,7 @@ class Mixture:
         total_tokens: float | None = None,
         ramp: float = 0.8,
         seed: int = 42,
+        exact_shares: bool = False,
     ):
         spark = documents.sparkSession
         ws = Workspace(spark, "mixing")
@@ -141,8 +170,8 @@ class Mixture:
         chosen = documents.where(source_name(F.col(source)).isin(list(wanted)))
         counts = ws.save(token_counts(chosen, doc_id, text, source, tokenizer).where("tokens > 0"), "tokens")
         sums = {r["source"]: (r["tokens"], r["n"]) for r in counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
-        live, total = plan(wanted, {s: t for s, (t, _) in sums.items()}, total_tokens, ramp)
-        if not live:
+        live, total = plan(wanted, {s: t for s, (t, _) in sums.items()}, total_tokens, ramp, exact_shares)
+        if not live or not total:
             empty = counts.where("false").select(
                 "doc_id", "source", F.lit(0).alias("epoch"), "tokens", F.lit(0.0).alias("position")
             )
@@ -157,9 +186,14 @@ class Mixture:
             F.count(F.lit(1)).alias("documents"),
             F.max("uses").alias("most_uses"),
         )
+        wish = float(sum(t.available for t in live.values())) if total_tokens is None else float(total_tokens)
+        rows = []
+        for s, (w, r) in wanted.items():
+            t = live.get(s, Target(0.0, r))
+            rows.append((s, w, round(t.share, 6), round(t.weight, 6), r, sums.get(s, (0, 0))[0], max(0, round(t.share * wish - t.demand))))
         asked = spark.createDataFrame(
-            [(s, w, r, sums.get(s, (0, 0))[0]) for s, (w, r) in wanted.items()],
-            "source string, target_share double, max_repeats int, available_tokens bigint",
+            rows,
+            "source string, target_share double, normalised_share double, planned_share double, max_repeats int, available_tokens bigint, missing_tokens bigint",
         )
         share = F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy()))
         self.report = (
@@ -172,12 +206,15 @@ class Mixture:
         bits = max(0, (n // BUCKET_ROWS).bit_length())
         rows = counts.where(F.col("source").isin(list(live))).withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
         rows = rows.withColumn("bucket", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("bigint"))
-        offsets = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
-        offsets = offsets.select(
-            "source",
-            "bucket",
-            (F.sum("bucket_tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_tokens")).alias("offset"),
-        )
+        sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).withColumn("outer", F.shiftright("bucket", bits // 2))
+
+        def before(within: list[str], order: str) -> Column:
+            return F.sum("n").over(Window.partitionBy(*within).orderBy(order)) - F.col("n")
+
+        groups = sums.groupBy("source", "outer").agg(F.sum("n").alias("n"))
+        groups = groups.select("source", "outer", before(["source"], "outer").alias("group_offset"))
+        offsets = sums.withColumn("own", before(["source", "outer"], "bucket")).join(groups, ["source", "outer"])
+        offsets = offsets.select("source", "bucket", (F.col("own") + F.col("group_offset")).alias("offset"))
         inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
         start = F.coalesce(F.sum("tokens").over(inside), F.lit(0)) + F.col("offset")
         placed = rows.join(offsets, ["source", "bucket"]).withColumn("start", start)

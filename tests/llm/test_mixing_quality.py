@@ -11,15 +11,86 @@ needs_tokenizer = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reaso
 
 
 def test_plan_meets_shares_and_caps():
-    live, total = mixing.plan({"a": (0.5, 1), "b": (0.3, 4), "c": (0.2, 2), "d": (0.1, 2), "e": (0.0, 3)}, {"a": 1000, "b": 50, "c": 400}, None, 0.8)
-    assert set(live) == {"a", "b", "c"} and total == pytest.approx(4 * 50 / 0.3)
-    assert sum(t.share for t in live.values()) == pytest.approx(1)
-    assert all(t.demand <= t.max_repeats * t.available + 1e-6 for t in live.values())
+    targets, available = {"a": (0.5, 1), "b": (0.3, 4), "c": (0.2, 2), "d": (0.1, 2), "e": (0.0, 3)}, {"a": 1000, "b": 50, "c": 400}
+    live, total = mixing.plan(targets, available, None, 0.8)
+    # b gives all it may, a and c the rest in proportion
+    assert set(live) == {"a", "b", "c"} and total == pytest.approx(1450)
+    assert live["b"].demand == 200 and live["a"].demand == pytest.approx(1250 * 5 / 7) and live["c"].demand == pytest.approx(1250 * 2 / 7)
+    assert sum(t.share for t in live.values()) == pytest.approx(1) and sum(t.weight for t in live.values()) == pytest.approx(1)
     for x in (0.0, 0.3, 1.0):  # the weights add up to one at all times
-        assert sum(t.share * (1 + t.slope * (2 * x - 1)) for t in live.values()) == pytest.approx(1)
+        assert sum(t.weight * (1 + t.slope * (2 * x - 1)) for t in live.values()) == pytest.approx(1)
     assert all(abs(t.slope) <= 0.8 + 1e-9 for t in live.values())
+    exact, most = mixing.plan(targets, available, None, 0.8, exact_shares=True)
+    assert most == pytest.approx(4 * 50 / 0.3) and all(t.demand == pytest.approx(t.share * most) for t in exact.values())
     assert mixing.plan({"a": (0.5, 1)}, {}, None, 0.8) == ({}, 0.0)
     assert mixing.plan({"a": (1.0, 3)}, {"a": 10}, 12.0, 0.8)[1] == 12.0
+    assert mixing.plan({"a": (1.0, 3)}, {"a": 10}, 99.0, 0.8)[1] == 30.0  # all there is
+
+
+def test_a_scarce_source_does_not_cut_the_total():
+    for total, want in ((None, 10**12 + 1000), (10**9, 10**9)):
+        live, got = mixing.plan({"big": (0.99, 1), "small": (0.01, 2)}, {"big": 10**12, "small": 1000}, total, 0.8)
+        assert got == pytest.approx(want) and live["small"].demand == 2000 and live["big"].demand == pytest.approx(want - 2000)
+
+
+@needs_tokenizer
+def test_mixture_against_brute_force(spark, data):
+    """Every use and the report of the whole tables, from the definition."""
+    import struct
+
+    import xxhash
+
+    docs, targets = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet")
+    m = mixing.Mixture(docs, targets)
+    tokens = {}
+    for r in mixing.token_counts(docs, "doc_id", "text", "source").collect():
+        tokens.setdefault(r["source"], []).append((r["doc_id"], r["tokens"]))
+    wanted = {mixing_name(r["source"]): r for r in targets.collect()}
+    live = {s: r for s, r in wanted.items() if tokens.get(s)}
+    total = sum(n for s in live for _, n in tokens[s])
+    scale = sum(r["target_share"] for r in live.values())
+    # the common rate at which capped shares make up the total, by halving
+    capacity = {s: r["max_repeats"] * sum(n for _, n in tokens[s]) for s, r in live.items()}
+    low, high = 0.0, 1e18
+    for _ in range(300):
+        rate = (low + high) / 2
+        if sum(min(capacity[s], r["target_share"] * rate) for s, r in live.items()) < total:
+            low = rate
+        else:
+            high = rate
+    demand = {s: min(capacity[s], r["target_share"] * high) for s, r in live.items()}
+
+    def key(i):
+        seed = xxhash.xxh64(struct.pack("<i", 42), seed=42).intdigest()
+        h = xxhash.xxh64(struct.pack("<q", i), seed=seed).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    want, report = set(), {}
+    for s in live:
+        at, own = 0, []
+        order = sorted(tokens[s], key=lambda x: (key(x[0]), x[0]))
+        for epoch in range(live[s]["max_repeats"]):
+            for i, n in order:
+                if at < demand[s] - 1e-6:
+                    own.append((i, epoch, n))
+                at += n
+        want |= {(s, i, e, n) for i, e, n in own}
+        report[s] = (sum(n for _, _, n in own), len(own), len({i for i, _, _ in own}))
+    assert {(r["source"], r["doc_id"], r["epoch"], r["tokens"]) for r in m.documents.collect()} == want
+    every = sum(t for t, _, _ in report.values())
+    for r in m.report.collect():
+        t, uses, n = report.get(r["source"], (0, 0, 0))
+        assert (r["tokens"], r["uses"], r["documents"]) == (t, uses, n)
+        assert r["actual_share"] == pytest.approx(t / every, abs=1e-6) and r["target_share"] == wanted[r["source"]]["target_share"]
+        if r["source"] in live:
+            share = live[r["source"]]["target_share"] / scale
+            assert r["normalised_share"] == pytest.approx(share, abs=1e-6)
+            assert r["planned_share"] == pytest.approx(demand[r["source"]] / total, abs=1e-6)
+            assert r["missing_tokens"] == pytest.approx(max(0, share * total - demand[r["source"]]), abs=1)
+
+
+def mixing_name(s):
+    return "_".join(s.strip().lower().replace("-", " ").split())
 
 
 def notes(spark):
@@ -39,7 +110,7 @@ def test_mixture(spark, monkeypatch):
         [("big", 0.5, 1), ("small-one", 0.3, 3), ("mid", 0.2, 2), ("absent", 0.1, 2), (None, 0.5, 1), ("none", None, 4)],
         "source string, target_share double, max_repeats int",
     )
-    m = mixing.Mixture(docs, targets)
+    m = mixing.Mixture(docs, targets, exact_shares=True)
     uses = [r.asDict() for r in m.documents.collect()]
     report = {r["source"]: r.asDict() for r in m.report.collect()}
     total = sum(u["tokens"] for u in uses)
@@ -63,7 +134,7 @@ def test_mixture(spark, monkeypatch):
     assert {900, 901} & {u["doc_id"] for u in uses} == set()
     # many buckets give the same uses
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
-    again = [r.asDict() for r in mixing.Mixture(docs, targets).documents.collect()]
+    again = [r.asDict() for r in mixing.Mixture(docs, targets, exact_shares=True).documents.collect()]
     assert again == uses
 
 
