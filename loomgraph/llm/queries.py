@@ -12,6 +12,7 @@ HEAVY_SHARE = "0.0025"
 MATCH_SUBSETS = ["owl-same-as", "owl-equivalence-classes"]
 RARE_RECORDS = 3
 COMMON_SHARE = (1, 10)
+TEXT_GRAMS = 2
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +73,17 @@ def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _frequencies(spark, d)
 
 
+def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences, records and mark of every word and pair of words in a row of the notebooks' texts."""
+    texts = table(spark, d, "documents").where("text IS NOT NULL")
+    total = texts.count()
+    f = term_frequency.ngram_frequencies(texts.select(term_frequency.words(F.col("text")).alias("words")), "words", TEXT_GRAMS)
+    mark = F.when(F.col("records") < RARE_RECORDS, "too_rare").when(
+        F.col("records") * COMMON_SHARE[1] > COMMON_SHARE[0] * total, "too_common"
+    )
+    return f.withColumn("mark", mark)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(
         table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text"
@@ -119,7 +131,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_top, p2_found, p2_sizes, p6_found, p6_frequencies, p7_found, p7_spans,
+            p1_found, p1_top, p2_found, p2_sizes, p6_found, p6_frequencies, p6_ngrams, p7_found, p7_spans,
             p8_mixture, p8_shares, p9_found, p9_statistics,
         )
     }
@@ -175,4 +187,11 @@ def oracle_sql() -> dict:
   SELECT subset_name, group_id, count(*) AS members FROM groups GROUP BY 1, 2) GROUP BY 1, 2""",
         "p6_found": _P6 + "SELECT field_name, val, mark FROM m WHERE mark IS NOT NULL",
         "p6_frequencies": _P6 + "SELECT * FROM m",
+        "p6_ngrams": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (
+  SELECT doc_id, 1 AS n, unnest(w) AS gram FROM d
+  UNION ALL SELECT doc_id, 2, a || ' ' || b FROM (SELECT doc_id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM d)
+), f AS (SELECT gram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY gram, n)
+SELECT *, CASE WHEN records < 3 THEN 'too_rare' WHEN records * 10 > (SELECT count(*) FROM d) THEN 'too_common' END AS mark FROM f""",
     }

@@ -89,7 +89,8 @@ def test_suffix_array_and_lcp():
 
 
 @pytest.mark.parametrize("max_n", [1, 2, 4])
-def test_ngrams(spark, max_n):
+def test_ngrams(spark, monkeypatch, max_n):
+    monkeypatch.setattr(term_frequency, "BLOCK", 1 << 20 if max_n % 2 else 25)
     rnd = random.Random(max_n)
     texts = [[rnd.choice(["a", "b", "c", None]) for _ in range(rnd.randrange(12))] for _ in range(40)] + [None, [], ["a"] * 30, [None, None]]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, words array<string>, gram string")
@@ -101,9 +102,9 @@ def test_ngrams(spark, max_n):
                 if None not in g:
                     occ[g] += 1
                     rec[g].add(i)
-    got = {tuple(r["gram"]): (r["n"], r["occurrences"], r["records"]) for r in term_frequency.ngram_frequencies(df, "id", "words", max_n).collect()}
+    got = {tuple(r["gram"].split(" ")): (r["n"], r["occurrences"], r["records"]) for r in term_frequency.ngram_frequencies(df, "words", max_n).collect()}
     assert got == {g: (len(g), occ[g], len(rec[g])) for g in occ}
-    assert term_frequency.ngram_frequencies(df.limit(0), "id", "words", 2).count() == 0
+    assert term_frequency.ngram_frequencies(df.limit(0), "words", 2).count() == 0
 
 
 @pytest.mark.parametrize("block", [1 << 20, 7])
@@ -118,3 +119,17 @@ def test_value_frequencies(spark, monkeypatch, block):
         want.append((v, len(own), len(set(own) - {None})))
     assert rows(term_frequency.value_frequencies(df, "p", "s")) == sorted(want)
     assert term_frequency.value_frequencies(df.limit(0), "p", "s").count() == 0
+
+
+def test_words(spark):
+    df = spark.createDataFrame([(1, "The cat_1, the Été—x"), (2, None), (3, "")], "id long, text string")
+    got = [r["w"] for r in df.select(term_frequency.words("text").alias("w")).collect()]
+    assert got == [["the", "cat_1", "the", "été", "x"], None, []]
+
+
+def test_value_counts_come_from_the_intervals(monkeypatch):
+    """Without the common prefixes all values would be one."""
+    order = term_frequency.common_prefixes
+    assert len(term_frequency.gram_intervals(np.arange(50) % 5, np.arange(50), np.ones(50), 1)[0][1]) == 5
+    monkeypatch.setattr(term_frequency, "common_prefixes", lambda t, o, d: np.ones_like(order(t, o, d)))
+    assert len(term_frequency.gram_intervals(np.arange(50) % 5, np.arange(50), np.ones(50), 1)[0][1]) == 1
