@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.workspace import Workspace
 
 
-#: A doubled step table may have so many rows for each link (and level); beyond it the step stays.
+#: Segments of paths may have so many rows for each link and level; beyond it they stay as short as they are.
 GROWTH = 4
 MAX_STRIDE = 32
 
@@ -21,21 +23,23 @@ class Hierarchy:
     no link.  Repeated links count once.  Other columns are ignored.  An empty
     table gives empty results.
 
-    ``edges(relation, parent, child)``, ``nodes(relation, node_id)``,
+    ``edges(relation, parent, child)``, ``nodes(relation, node_id)``.
+    ``pairs(relation, top, bottom)``: every pair once of a node and a node that
+    a walk of one or more links leads down to; a node on a cycle is below itself.
     ``cyclic(relation, node_id)``: nodes on a cycle or below one.
     ``paths(relation, node_id, ids)``: one row per distinct path from a root to
     a node that is not cyclic; ``ids`` is root first, the node last.
 
-    A node is cyclic exactly if walks of any length end at it.  ``has(m)``, the
-    nodes at which a walk of ``m`` links ends, shrinks with ``m`` until it is
-    that set; ancestor pairs exactly ``h`` links apart take it from ``m`` to
-    ``m + h`` in one semi-join, and joining the pairs with themselves doubles
-    ``h``.  Paths grow level-wise from the roots: the frontier is joined with
-    all downward segments of up to ``h`` links, so one round adds ``h`` levels.
-    In both, ``h`` doubles only while the measured table stays within a fixed
-    multiple of the links, so densely linked data fall back to smaller steps
-    with the same result.  Each round is a written table: plans stay flat and a
-    lost executor costs one round at most.
+    Pairs up to ``h`` links apart and the pairs with a walk of exactly ``h``
+    links make, joined, those up to ``2h``: in a tree each is made once, and
+    the rounds are the logarithm of the depth.  A node that is repeated in its
+    own walk, one that is its own ancestor, is on a cycle; what is below such a
+    one is never reached by paths.  Paths grow level-wise from the roots: the
+    frontier is joined with all downward segments of up to ``h`` links, so one
+    round adds ``h`` levels; ``h`` doubles only while the measured table stays
+    within a fixed multiple of the links.  Each round is a written table: plans
+    stay flat and a lost executor costs one round at most.  Each result is made
+    when it is first asked for.
     """
 
     def __init__(self, links: DataFrame):
@@ -47,37 +51,46 @@ class Hierarchy:
             rows.select("relation", F.col("parent").alias("node_id"))
         ).distinct()
         self.edges = rows.where("child <> parent").select("relation", "parent", "child")
-        self.n_edges = self.edges.count()
-        self.cyclic = self._cyclic()
-        self.paths = self._paths()
-
-    def _cyclic(self) -> DataFrame:
-        hops, n_hops, h = self.edges.withColumnsRenamed({"parent": "top", "child": "bottom"}), self.n_edges, 1
-        has, n = self.ws.save_counted(self.edges.select("relation", F.col("child").alias("top")).distinct(), "has")
-        growing = True
+
+    def _read(self, tables: list[DataFrame]) -> DataFrame:
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._loomgraph_path for t in tables])
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        yes, no = F.lit(True), F.lit(False)
+        ends = self.edges.select("relation", F.col("parent").alias("top"), F.col("child").alias("bottom"))
+        # full: there is a walk of h links; new: there is none of fewer
+        last, n = self.ws.save_counted(ends.select("*", yes.alias("full"), yes.alias("new")), "pairs")
+        tables = [last]
         while n:
-            step = hops.join(has, ["relation", "top"], "left_semi")
-            smaller, m = self.ws.save_counted(step.select("relation", F.col("bottom").alias("top")).distinct(), "has")
-            self.ws.drop(has)
-            has, before, n = smaller, n, m
-            if m == before:
-                break
-            if growing and n_hops:
-                lower = hops.withColumnsRenamed({"top": "middle"})
-                upper = hops.withColumnsRenamed({"bottom": "middle"})
-                twice = upper.join(lower, ["relation", "middle"]).select("relation", "top", "bottom").distinct()
-                twice, n_twice = self.ws.save_counted(twice, "hops")
-                growing = n_twice <= GROWTH * self.n_edges
-                if growing:
-                    hops, n_hops, h = twice, n_twice, 2 * h
-        return has.withColumnRenamed("top", "node_id")
+            step = last.where("full").select("relation", "top", F.col("bottom").alias("middle"))
+            known = self._read(tables).where("new").select("relation", "top", "bottom")
+            lower = known.select("*", no.alias("full")).union(last.where("full").select("relation", "top", "bottom", yes))
+            made = (
+                step.join(lower.withColumnRenamed("top", "middle"), ["relation", "middle"])
+                .groupBy("relation", "top", "bottom")
+                .agg(F.max("full").alias("full"))
+                .join(known.withColumn("old", yes), ["relation", "top", "bottom"], "left")
+                .select("relation", "top", "bottom", "full", F.col("old").isNull().alias("new"))
+                .where("full OR new")
+            )
+            last, n = self.ws.save_counted(made, "pairs", F.col("new"))
+            tables.append(last)
+        return self._read(tables).where("new").select("relation", "top", "bottom")
+
+    @cached_property
+    def cyclic(self) -> DataFrame:
+        ring = self.pairs.where("top = bottom").select("relation", "top")
+        below = self.pairs.join(ring, ["relation", "top"], "left_semi")
+        return self.ws.save(below.select("relation", F.col("bottom").alias("node_id")).distinct(), "cyclic")
 
     def _segments(self, good: DataFrame, n_good: int) -> tuple[DataFrame, int]:
         """``(relation, parent, steps, h)``: downward chains of 1 to h links from
         ``parent``; ``steps`` are the ids below it."""
-        seg = self.ws.save(good.select("relation", "parent", F.array("child").alias("steps")), "segments")
+        parts = [self.ws.save(good.select("relation", "parent", F.array("child").alias("steps")), "segments")]
         h = 1
         while h < MAX_STRIDE:
+            seg = self._read(parts)
             full = seg.where(F.size("steps") == h).withColumnRenamed("steps", "first")
             longer = full.join(
                 seg.withColumnRenamed("parent", "middle"),
@@ -85,19 +98,16 @@ class Hierarchy:
             ).select(full["relation"], full["parent"], F.concat("first", "steps").alias("steps"))
             longer, n = self.ws.save_counted(longer, "segments")
             if n == 0 or n > GROWTH * h * n_good:
-                return seg, h
-            seg, h = self.spark.read.schema(seg.schema).parquet(*self._files(seg), longer._loomgraph_path), 2 * h
-        return seg, h
-
-    def _files(self, df: DataFrame) -> list[str]:
-        path = getattr(df, "_loomgraph_path", None)
-        return [path] if path else df.inputFiles()
+                break
+            parts.append(longer)
+            h *= 2
+        return self._read(parts), h
 
-    def _paths(self) -> DataFrame:
-        cyclic = self.cyclic
+    @cached_property
+    def paths(self) -> DataFrame:
         good, n_good = self.ws.save_counted(
             self.edges.join(
-                cyclic.withColumnRenamed("node_id", "child"), ["relation", "child"], "left_anti"
+                self.cyclic.withColumnRenamed("node_id", "child"), ["relation", "child"], "left_anti"
             ).select("relation", "parent", "child"),
             "good",
         )
@@ -122,7 +132,7 @@ class Hierarchy:
             level, n = self.ws.save_counted(step, "level")
             if n:
                 levels.append(level)
-        return self.spark.read.schema(level.schema).parquet(*[t._loomgraph_path for t in levels]).drop("links")
+        return self._read(levels).drop("links")
 
     def node_paths(self) -> DataFrame:
         """``(relation, node_id, path, depth, root)``: one row per path, and the
@@ -144,65 +154,5 @@ class Hierarchy:
         return straight.unionByName(cyclic)
 
     def descendants(self) -> DataFrame:
-        """``(relation, node_id, descendant_id)``: every pair once of a node and a node that
-        a walk of one or more links leads down to; a node on a cycle is below itself.
-
-        Pairs with a lower node that is not cyclic are read off the ancestor
-        prefixes of the paths.  The nodes above a cyclic node are cyclic, or
-        are above a link into the cyclic part: closed inside that part, the
-        pairs are then joined with what is above those links.
-        """
-        straight = (
-            self.paths.where(F.size("ids") > 1)
-            .select(
-                "relation",
-                F.explode(F.slice("ids", F.lit(1), F.size("ids") - 1)).alias("node_id"),
-                F.col("node_id").alias("descendant_id"),
-            )
-            .distinct()
-        )
-        into = self.ws.save(self.edges.join(self.cyclic.withColumnRenamed("node_id", "child"), ["relation", "child"], "left_semi"), "into")
-        upper = self.cyclic.withColumnRenamed("node_id", "parent")
-        inside = self._closed(
-            into.join(upper, ["relation", "parent"], "left_semi").select("relation", F.col("parent").alias("top"), F.col("child").alias("bottom"))
-        )
-        entering = into.join(upper, ["relation", "parent"], "left_anti")
-        above = entering.join(straight.withColumnsRenamed({"node_id": "top", "descendant_id": "parent"}), ["relation", "parent"])
-        entries = self.ws.save(
-            entering.select("relation", F.col("parent").alias("top"), "child").union(above.select("relation", "top", "child")).distinct(), "entries"
-        )
-        below = entries.join(inside.withColumnRenamed("top", "child"), ["relation", "child"]).select("relation", "top", "bottom")
-        crossing = entries.withColumnRenamed("child", "bottom").select("relation", "top", "bottom").union(below).distinct()
-        return straight.union(inside.union(crossing))
-
-    def _closed(self, links: DataFrame) -> DataFrame:
-        """``(relation, top, bottom)``: the transitive closure of distinct links, semi-naive.
-
-        A round adds up to ``h`` links to the pairs found in the last one;
-        ``h`` doubles first, while the table of steps stays small.
-        """
-        step, n = self.ws.save_counted(links, "below")
-        most = GROWTH * n
-        while n:
-            twice = step.union(self._joined(step, step)).distinct()
-            twice, m = self.ws.save_counted(twice, "below")
-            if m == n:
-                return step
-            if m > most:
-                break
-            step, n = twice, m
-        found, new = [step], step
-        while n:
-            every = self.spark.read.schema(step.schema).parquet(*[t._loomgraph_path for t in found])
-            added = self._joined(new, step).distinct().join(every, ["relation", "top", "bottom"], "left_anti")
-            new, n = self.ws.save_counted(added, "below")
-            if n:
-                found.append(new)
-        return self.spark.read.schema(step.schema).parquet(*[t._loomgraph_path for t in found])
-
-    def _joined(self, upper: DataFrame, lower: DataFrame) -> DataFrame:
-        return (
-            upper.withColumnRenamed("bottom", "middle")
-            .join(lower.withColumnRenamed("top", "middle"), ["relation", "middle"])
-            .select("relation", "top", "bottom")
-        )
+        """``(relation, node_id, descendant_id)``: the ancestor pairs."""
+        return self.pairs.select("relation", F.col("top").alias("node_id"), F.col("bottom").alias("descendant_id"))

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -71,10 +71,11 @@ class Workspace:
         out._loomgraph_path = path
         return out
 
-    def save_counted(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
-        """``save`` and the number of rows, counted while they are written."""
+    def save_counted(self, df: DataFrame, name: str = "t", which: Column | None = None) -> tuple[DataFrame, int]:
+        """``save`` and the number of rows, or of those that fit ``which``, counted while they are written."""
         seen = Observation()
-        out = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        counted = F.count(F.lit(1)) if which is None else F.count_if(which)
+        out = self.save(df.observe(seen, counted.alias("n")), name)
         return out, seen.get["n"]
 
     def settled(self, df: DataFrame, name: str = "base") -> DataFrame:
