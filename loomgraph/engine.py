@@ -158,7 +158,7 @@ class Engine:
         constants = list(dict.fromkeys(t for p in [*q.patterns, *[(a, b) for a, _, b in q.filters]] for t in p if not t.startswith("?")))
         if lexical:
             constants = [c if c.startswith("<") else c[: c.rindex('"') + 1] for c in constants]
-        known = lookup(self.dictionary, constants, lexical) if constants and self.dictionary is not None else {}
+        known = lookup(self.dictionary, constants, lexical)
         every = list(dict.fromkeys(t for p in q.patterns for t in p if t.startswith("?") and not t.startswith("?_b")))
         chosen = every if select_all else q.variables
 

@@ -15,9 +15,9 @@ from loomgraph.plans.planner import predicate_statistics
 from loomgraph.plans.rules import Atom
 from loomgraph.plans.tbox import TBox, assemble_lists, subset
 from loomgraph.sources import relational as X
-from loomgraph.sources.store import insert, read_store, scan_store, write_store
+from loomgraph.sources.store import compact, insert, read_store, read_subsets, scan_store, write_store, write_subsets
 from loomgraph.sources.tables import table
-from loomgraph.terms import decode
+from loomgraph.terms import clean_dictionary, decode
 from loomgraph.workspace import Workspace
 
 QUERIES: dict = {}
@@ -154,6 +154,27 @@ def store_round_trip(spark, d):
     return read_store(spark, path)
 
 
+@query(f"SELECT s, p, o FROM {_T}")
+def store_compacted(spark, d):
+    """Stored in two inserts, rewritten in order and read back from the copy by object."""
+    path = Workspace(spark, "store").root
+    t = triples(spark, d)
+    write_store(t.where("p < 110"), path)
+    insert(spark, path, t)
+    compact(spark, path)
+    return read_store(spark, path, "pos")
+
+
+@query("""SELECT DISTINCT subset_name AS subset, s, p, o FROM schema_triples WHERE subset_name IN ('rdfs-domain', 'rdfs-range', 'owl-inverse', 'owl-type-class')
+AND s IS NOT NULL AND o IS NOT NULL""")
+def schema_subsets(spark, d):
+    """The named subsets of a closed schema, written to their folders and some of them read back."""
+    path = Workspace(spark, "subsets").root
+    names = ["rdfs-domain", "rdfs-range", "owl-inverse", "owl-type-class"]
+    write_subsets(_closed(spark, d, [], *names, "owl-symmetric-properties").closed, path)
+    return read_subsets(spark, path, *names).select("subset", "s", "p", "o")
+
+
 @query(f"SELECT s, p, o FROM {_T} WHERE o = 207")
 def store_scan_object(spark, d):
     """A scan by object, from the copy in object order."""
@@ -321,8 +342,9 @@ def tbox_lists(spark, d):
     return t.closed.where(F.col("p") == T.SUB_CLASS_OF).select("s", "o")
 
 
-@query("""WITH l AS (SELECT DISTINCT head, pos, el FROM lists WHERE list_id = 0 AND head IS NOT NULL AND el IS NOT NULL AND pos IS NOT NULL),
-k AS (SELECT head, row_number() OVER (PARTITION BY head ORDER BY pos, el) - 1 AS pos, el FROM l) SELECT head, CAST(pos AS INT) AS pos, el FROM k""")
+@query("""WITH l AS (SELECT DISTINCT head, list_id, pos, el FROM lists WHERE head IS NOT NULL AND list_id IS NOT NULL AND el IS NOT NULL AND pos IS NOT NULL),
+k AS (SELECT head, list_id, row_number() OVER (PARTITION BY head, list_id ORDER BY pos, el) - 1 AS pos, el FROM l)
+SELECT head, list_id, CAST(pos AS INT) AS pos, el FROM k""")
 def list_assembly(spark, d):
     """Lists written as first and rest statements, and put together again: every list of every head."""
     from pyspark.sql import Window
@@ -750,7 +772,7 @@ def sparql_filter(spark, d):
 (SELECT id FROM dictionary WHERE text = (SELECT min(text) FROM dictionary WHERE id = 117))""")
 def sparql_store(spark, d):
     """A path over the stored triples, its constants taken from the dictionary."""
-    known = {r["id"]: r["text"] for r in table(spark, d, "dictionary").where(F.col("id").isin(101, 117) & F.col("text").isNotNull()).collect()}
+    known = {r["id"]: r["text"] for r in clean_dictionary(table(spark, d, "dictionary").where(F.col("id").isin(101, 117))).collect()}
     e = Engine(triples(spark, d), dictionary=table(spark, d, "dictionary"))
     return e.sparql(f"SELECT ?x ?z WHERE {{ ?x {known[101]} [ {known[117]} ?z ] }}", reason=False)
 

@@ -10,6 +10,18 @@ from loomgraph.workspace import Workspace
 
 #: With more predicates than this they are no folders: files are sorted by predicate instead.
 MOST_FOLDERS = 2_000
+ORDERS = ("pso", "pos")
+
+
+def _fs(spark: SparkSession, path: str):
+    """The path's file system and the path, as Hadoop's objects."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _write(rows: DataFrame, path: str, order: str, folders: bool, mode: str) -> None:
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
+    (out.partitionBy("p") if folders else out).parquet(path)
 
 
 def write_store(triples: DataFrame, path: str, by_object: bool = True) -> None:
@@ -18,13 +30,14 @@ def write_store(triples: DataFrame, path: str, by_object: bool = True) -> None:
     Rows are range-partitioned by the order's columns, so a predicate with most
     rows is spread over many files, and each file's row groups have narrow
     statistics.  Both copies let Spark prune folders or row groups whichever
-    terms a pattern fixes.
+    terms a pattern fixes.  The statements are made distinct once: the second
+    copy is made of the first.
     """
-    rows = complete(triples).distinct()
+    rows = complete(triples)
     few = rows.select("p").distinct().limit(MOST_FOLDERS + 1).count() <= MOST_FOLDERS
-    for order in (["p", "s", "o"], ["p", "o", "s"])[: 2 if by_object else 1]:
-        out = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
-        (out.partitionBy("p") if few else out).parquet(f"{path}/{''.join(order)}")
+    _write(rows.distinct(), f"{path}/pso", "pso", few, "overwrite")
+    if by_object:
+        _write(read_store(triples.sparkSession, path), f"{path}/pos", "pos", few, "overwrite")
 
 
 def read_store(spark: SparkSession, path: str, order: str = "pso") -> DataFrame:
@@ -39,27 +52,75 @@ def scan_store(spark: SparkSession, path: str, s=None, p=None, o=None) -> DataFr
     return scan(read_store(spark, path, "pos" if o is not None and s is None else "pso"), s, p, o)
 
 
+def _copies(spark: SparkSession, path: str) -> dict[str, bool]:
+    """The orders that there are, and whether predicates are folders."""
+    out = {}
+    for order in ORDERS:
+        fs, target = _fs(spark, f"{path}/{order}")
+        if fs.exists(target):
+            out[order] = any(x.getPath().getName().startswith("p=") for x in fs.listStatus(target))
+    return out
+
+
 def insert(spark: SparkSession, path: str, new: DataFrame) -> int:
-    """Adds the statements that are not yet stored to each copy; returns how many.
+    """Adds to each copy the statements that it has not yet; returns how many the first lacked.
 
-    Only the predicates of the new rows are read to look for repetitions.
+    Each copy is held against itself, so an insert that failed between two
+    copies, or within one, is completed by running it again.  Only the
+    predicates of the new rows are read to look for repetitions.
     """
     ws = Workspace(spark, "insert")
-    rows = complete(new).distinct()
-    stored = read_store(spark, path)
+    rows = ws.save(complete(new).distinct(), "rows")
     found = rows.select("p").distinct().limit(IN_LIST + 1).collect()
-    if len(found) <= IN_LIST:
-        stored = stored.where(F.col("p").isin([r["p"] for r in found]))
-    fresh, n = ws.save_counted(rows.join(stored, ["s", "p", "o"], "left_anti").select("s", "p", "o"), "fresh")
-    if n:
-        jvm = spark.sparkContext._jvm
-        for order in ("pso", "pos"):
-            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{order}")
-            fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            if not fs.exists(target):
-                continue
-            folders = any(x.getPath().getName().startswith("p=") for x in fs.listStatus(target))
-            out = fresh.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append")
-            (out.partitionBy("p") if folders else out).parquet(f"{path}/{order}")
-    ws.drop(fresh)
-    return n
+    added = []
+    for order, folders in _copies(spark, path).items():
+        stored = read_store(spark, path, order)
+        if len(found) <= IN_LIST:
+            stored = stored.where(F.col("p").isin([r["p"] for r in found]))
+        fresh, n = ws.save_counted(rows.join(stored, ["s", "p", "o"], "left_anti").select("s", "p", "o"), "fresh")
+        if n:
+            _write(fresh, f"{path}/{order}", order, folders, "append")
+        added.append(n)
+        ws.drop(fresh)
+    ws.drop(rows)
+    return added[0] if added else 0
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrites each copy in its order, as many small inserts leave many small and overlapping files.
+
+    The new files are complete before they take the place of the old ones,
+    which are kept beside them until then.
+    """
+    for order, folders in _copies(spark, path).items():
+        fresh, old = f"{path}/_{order}-new", f"{path}/_{order}-old"
+        _write(read_store(spark, path, order).distinct(), fresh, order, folders, "overwrite")
+        fs, target = _fs(spark, f"{path}/{order}")
+        fs.delete(_fs(spark, old)[1], True)
+        fs.rename(target, _fs(spark, old)[1])
+        fs.rename(_fs(spark, fresh)[1], target)
+        fs.delete(_fs(spark, old)[1], True)
+
+
+def write_subsets(closed: DataFrame, path: str) -> dict[str, int]:
+    """Writes each named subset of a closed schema below its own folder; returns their sizes.
+
+    A schema that was closed once is read back with ``read_subsets`` and needs no closing again.
+    """
+    from loomgraph.terms import SUBSETS
+
+    name = F.lit(None).cast("string")
+    for k, (p, o) in SUBSETS.items():
+        fits = (F.col("p") == p) if o is None else (F.col("p") == p) & (F.col("o") == o)
+        name = F.when(fits, k).otherwise(name)
+    rows = complete(closed).distinct().withColumn("subset", name).where("subset IS NOT NULL")
+    rows.repartitionByRange("subset", "s").sortWithinPartitions("subset", "s", "o").write.mode("overwrite").partitionBy("subset").parquet(path)
+    return {r["subset"]: r["n"] for r in closed.sparkSession.read.parquet(path).groupBy("subset").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def read_subsets(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """The statements of the named subsets, or of all, read from their folders only."""
+    rows = spark.read.parquet(path)
+    if names:
+        rows = rows.where(F.col("subset").isin(list(names)))
+    return rows.select("s", "p", "o", "subset")

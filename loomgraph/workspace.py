@@ -21,12 +21,14 @@ _OWN_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a folder of our own is made, and
-    removed again when the process ends.
+    Only where it is unset and all executors run in this process (local tests) a
+    folder of our own is made, and removed again when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="loomgraph-")
@@ -45,10 +47,19 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_READS = {"LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter", "Union", "SubqueryAlias", "Range"}
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether a plan only reads and filters: reading it again costs no shuffle."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(x in plan for x in ("Aggregate", "Join", "Window", "Distinct", "Generate", "MapIn"))
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _READS:
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 class Workspace:

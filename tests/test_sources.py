@@ -115,3 +115,46 @@ def test_late_first_deliveries_are_ingested(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         ingest(stream, store, str(tmp_path / "checkpoint"), late="2 days").awaitTermination()
     assert sorted(tuple(r) for r in read_store(spark, store).select("s", "p", "o").collect()) == [(i, 100, i) for i in range(4)]
+
+
+def test_insert_is_completed_after_a_failure(spark, tmp_path, monkeypatch):
+    from loomgraph.sources import store
+
+    path = f"{tmp_path}/store"
+    write_store(spark.createDataFrame([(1, 100, 2)], S), path)
+    new = spark.createDataFrame([(3, 100, 4), (3, 100, 4), (1, 100, 2), (5, 101, 6), (None, 1, 1)], S)
+    write = store._write
+
+    def failing(rows, target, order, folders, mode):
+        if order == "pos":
+            raise OSError("lost")
+        write(rows, target, order, folders, mode)
+
+    monkeypatch.setattr(store, "_write", failing)
+    with pytest.raises(OSError):
+        insert(spark, path, new)
+    monkeypatch.setattr(store, "_write", write)
+    assert insert(spark, path, new) == 0  # the first copy has them
+    want = [(1, 100, 2), (3, 100, 4), (5, 101, 6)]
+    assert rows(read_store(spark, path, "pso")) == rows(read_store(spark, path, "pos")) == want
+    assert insert(spark, path, new) == 0
+    store.compact(spark, path)
+    assert rows(read_store(spark, path, "pso")) == rows(read_store(spark, path, "pos")) == want
+    assert not [x for x in (tmp_path / "store").iterdir() if x.name.startswith("_")]
+
+
+def test_subsets_are_kept(spark, tmp_path):
+    from loomgraph.sources.store import read_subsets, write_subsets
+
+    closed = spark.createDataFrame([(1, 5, 2), (1, 5, 2), (3, 0, 10), (4, 0, 9), (5, 16, 6), (7, 999, 8)], S)
+    assert write_subsets(closed, f"{tmp_path}/c") == {"rdfs-subclasses": 1, "owl-transitive-properties": 1, "owl-symmetric-properties": 1, "owl-on-properties": 1}
+    assert rows(read_subsets(spark, f"{tmp_path}/c", "rdfs-subclasses")) == [(1, 5, 2, "rdfs-subclasses")]
+
+
+def test_plans_that_only_read(spark, tmp_path):
+    from loomgraph.workspace import is_scan
+
+    spark.createDataFrame([(1, 2, 3)], S).write.parquet(f"{tmp_path}/Join Aggregate")
+    df = spark.read.parquet(f"{tmp_path}/Join Aggregate")
+    assert is_scan(df.where("s > 0").union(df).select("s"))
+    assert not is_scan(df.distinct()) and not is_scan(df.join(df.select("s"), "s"))
