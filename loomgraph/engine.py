@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.scan import bindings, complete, name, natural_join, scan
 from loomgraph.plans import planner, sparql
-from loomgraph.plans.backward import answer
+from loomgraph.plans.backward import answer, is_followed, restricted, schema_goals
 from loomgraph.plans.forward import Closure, fixpoint
 from loomgraph.plans.rules import OWL2RL_SPEC, Atom, Profile, is_variable
-from loomgraph.plans.tbox import TBox
+from loomgraph.plans.tbox import TBox, schema_triples
 from loomgraph.terms import lookup
 from loomgraph.workspace import Workspace
 
 
+#: A pattern is restricted to what it is joined with where it has so many times as many values.
+FEWER = 20
+
+
 class Engine:
     """Queries over ``triples`` (columns s, p, o; others are ignored).
 
@@ -50,12 +54,33 @@ class Engine:
 
     @cached_property
     def tbox(self) -> TBox:
-        return TBox(self.schema if self.schema is not None else self.triples, self.profile, self.lists, after=self.after)
+        """The closed schema, with what of it follows from all statements by the rules on instances.
+
+        Where such a rule can conclude schema at all, what it does is added and
+        the schema closed again, until nothing is added any more.
+        """
+        stated = self.schema if self.schema is not None else self.triples
+        out = TBox(stated, self.profile, self.lists, after=self.after)
+        ws = Workspace(self.spark, "schema")
+        while True:
+            goals = schema_goals(out.compiled)
+            if not goals:
+                return out
+            known = self.explicit.unionByName(out.derived)
+            found = [answer(known, (None, p, o), out.compiled) for p, o in goals]
+            more = schema_triples(reduce(DataFrame.unionByName, found))
+            more, n = ws.save_counted(more.distinct().join(out.closed, ["s", "p", "o"], "left_anti").select("s", "p", "o"), "more")
+            if not n:
+                return out
+            stated = stated.unionByName(more)
+            derived = more if out.more is None else out.more.unionByName(more)
+            out = TBox(stated, self.profile, self.lists, after=self.after)
+            out.more = derived
 
     @cached_property
     def known(self) -> DataFrame:
         """What is known before rules on instances run: the statements and the closed schema."""
-        return self.explicit.unionByName(self.tbox.closure.derived)
+        return self.explicit.unionByName(self.tbox.derived)
 
     @cached_property
     def _settled(self) -> Engine:
@@ -77,26 +102,42 @@ class Engine:
 
     def forward(self) -> DataFrame:
         """All conclusions, of the schema and about instances, without what is stated."""
-        return self.tbox.closure.derived.unionByName(self.closure.derived)
+        return self.tbox.derived.unionByName(self.closure.derived)
 
-    def pattern(self, s=None, p=None, o=None, reason: bool = True, exclude_explicit: bool = False, ahead: bool = False) -> DataFrame:
+    def pattern(
+        self,
+        s=None,
+        p=None,
+        o=None,
+        reason: bool = True,
+        exclude_explicit: bool = False,
+        ahead: bool = False,
+        tag_explicit: bool = False,
+        seeds: dict[str, DataFrame] | None = None,
+    ) -> DataFrame:
         """The distinct statements that fit.  A term is an id, a set of ids, or None for any.
 
         With ``reason`` they include what follows by the rules, derived for this
-        goal or, with ``ahead``, taken from the full closure.
+        goal or, with ``ahead``, taken from the full closure.  ``tag_explicit``
+        adds a column ``explicit`` that says which are stated.  ``seeds`` has
+        one-column tables of the distinct values of s or o that are asked for.
         """
+        if tag_explicit:
+            stated = scan(self.explicit, s, p, o).withColumn("explicit", F.lit(True))
+            rows = self.pattern(s, p, o, reason, exclude_explicit, ahead, seeds=seeds).join(stated, ["s", "p", "o"], "left")
+            return rows.select("s", "p", "o", F.col("explicit").isNotNull().alias("explicit"))
         if not reason:
-            return scan(self.explicit, s, p, o)
+            return restricted(scan(self.explicit, s, p, o), seeds or {})
         ids = tuple(x if isinstance(x, int) else None for x in (s, p, o))
         if ahead:
             out = self.known.unionByName(self.closure.derived)
         elif isinstance(p, (set, frozenset, list, tuple)):
-            parts = [answer(self.known, (ids[0], x, ids[2]), self.tbox.compiled) for x in sorted(set(p))]
+            parts = [answer(self.known, (ids[0], x, ids[2]), self.tbox.compiled, seeds) for x in sorted(set(p))]
             out = parts[0]
             for x in parts[1:]:
                 out = out.unionByName(x)
         else:
-            out = answer(self.known, ids, self.tbox.compiled)
+            out = answer(self.known, ids, self.tbox.compiled, seeds)
         out = scan(out, s, p, o)
         if exclude_explicit:
             out = out.join(scan(self.explicit, s, p, o), ["s", "p", "o"], "left_anti").select("s", "p", "o")
@@ -121,24 +162,45 @@ class Engine:
         Patterns are joined smallest first, then along shared variables.  A
         variable twice in a pattern means equality.  Patterns without a common
         variable are refused unless ``allow_cross``.  ``sets`` restricts
-        variables to ids.
+        variables to ids.  A pattern is asked only for the values that a shared
+        variable has so far, where these are fewer than ``FEWER`` of its own.
         """
         if len(atoms) > 2 and self._settled is not self:
             return self._settled.bgp(atoms, reason, optimise, allow_cross, sets, implicit_estimates)
+        order, sizes, known = range(len(atoms)), None, None
         if optimise and len(atoms) > 2:  # two are joined either way; Spark picks the sides
-            order = planner.join_order(atoms, self.cardinality(atoms, implicit=reason and implicit_estimates))
-        else:
-            order = range(len(atoms))
+            sizes = self.cardinality(atoms, implicit=reason and implicit_estimates)
+            order = planner.join_order(atoms, sizes)
+        elif optimise and len(atoms) == 2 and reason:
+            order = sorted(order, key=lambda i: -sum(not is_variable(t) for t in atoms[i].terms()))
         out = None
         for i in order:
             terms = [t if isinstance(t, int) else None for t in atoms[i].terms()]
             for k, t in enumerate(atoms[i].terms()):
                 if is_variable(t) and sets and t in sets:
                     terms[k] = sets[t]
-            rows = self.pattern(*terms, reason=reason)
+            seeds = self._seeds(out, atoms[i], known, sizes and sizes[i].size, reason) if optimise else None
+            if seeds:
+                out, seeds = seeds
+            rows = self.pattern(*terms, reason=reason, seeds=seeds)
             out = natural_join(out, bindings(rows, atoms[i]), allow_cross)
+            if sizes:
+                known = sizes[i].size if known is None else known.join(sizes[i].size)
         return out
 
+    def _seeds(self, out: DataFrame | None, atom: Atom, known, size, reason: bool) -> tuple[DataFrame, dict[str, DataFrame]] | None:
+        """What is joined so far, written once, and the values it leaves for the first shared end of the next pattern."""
+        shared = [(c, t) for c, t in zip("so", (atom.s, atom.o)) if is_variable(t) and out is not None and name(t) in out.columns]
+        if not shared:
+            return None
+        c, t = min(shared, key=lambda x: known.distinct.get(x[1], known.n)) if known else shared[0]
+        few = known is not None and size is not None and known.distinct.get(t, known.n) * FEWER < size.distinct.get(t, size.n)
+        followed = reason and not is_variable(atom.p) and all(map(is_variable, (atom.s, atom.o))) and is_followed(atom.p, self.tbox.compiled)
+        if not few and not followed:
+            return None
+        out = Workspace(self.spark, "joined").save(out, "joined")
+        return out, {c: out.select(F.col(name(t)).alias(c)).distinct()}
+
     def sparql(
         self,
         text: str,

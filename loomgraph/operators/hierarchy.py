@@ -15,6 +15,35 @@ GROWTH = 4
 MAX_STRIDE = 32
 
 
+def closed_pairs(ws: Workspace, links: DataFrame, within: list[str]) -> list[DataFrame]:
+    """Tables whose ``new`` rows are all pairs ``(*within, top, bottom)`` once that walks of distinct links lead along;
+    those of the first table are the links.
+
+    A round joins the pairs with a walk of exactly ``h`` links and all pairs up
+    to ``h`` links apart to those up to ``2h``.
+    """
+    spark, yes, no = links.sparkSession, F.lit(True), F.lit(False)
+    pair = [*within, "top", "bottom"]
+    # full: there is a walk of h links; new: there is none of fewer
+    last, n = ws.save_counted(links.select(*pair, yes.alias("full"), yes.alias("new")), "pairs")
+    tables = [last]
+    while n:
+        step = last.where("full").select(*within, "top", F.col("bottom").alias("middle"))
+        known = spark.read.schema(last.schema).parquet(*[t._loomgraph_path for t in tables]).where("new").select(*pair)
+        lower = known.select("*", no.alias("full")).union(last.where("full").select(*pair, yes))
+        made = (
+            step.join(lower.withColumnRenamed("top", "middle"), [*within, "middle"])
+            .groupBy(*pair)
+            .agg(F.max("full").alias("full"))
+            .join(known.withColumn("old", yes), pair, "left")
+            .select(*pair, "full", F.col("old").isNull().alias("new"))
+            .where("full OR new")
+        )
+        last, n = ws.save_counted(made, "pairs", F.col("new"))
+        tables.append(last)
+    return tables
+
+
 class Hierarchy:
     """Hierarchies of unknown depth, several relations at once.
 
@@ -57,25 +86,8 @@ class Hierarchy:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        yes, no = F.lit(True), F.lit(False)
         ends = self.edges.select("relation", F.col("parent").alias("top"), F.col("child").alias("bottom"))
-        # full: there is a walk of h links; new: there is none of fewer
-        last, n = self.ws.save_counted(ends.select("*", yes.alias("full"), yes.alias("new")), "pairs")
-        tables = [last]
-        while n:
-            step = last.where("full").select("relation", "top", F.col("bottom").alias("middle"))
-            known = self._read(tables).where("new").select("relation", "top", "bottom")
-            lower = known.select("*", no.alias("full")).union(last.where("full").select("relation", "top", "bottom", yes))
-            made = (
-                step.join(lower.withColumnRenamed("top", "middle"), ["relation", "middle"])
-                .groupBy("relation", "top", "bottom")
-                .agg(F.max("full").alias("full"))
-                .join(known.withColumn("old", yes), ["relation", "top", "bottom"], "left")
-                .select("relation", "top", "bottom", "full", F.col("old").isNull().alias("new"))
-                .where("full OR new")
-            )
-            last, n = self.ws.save_counted(made, "pairs", F.col("new"))
-            tables.append(last)
+        tables = closed_pairs(self.ws, ends, ["relation"])
         return self._read(tables).where("new").select("relation", "top", "bottom")
 
     @cached_property

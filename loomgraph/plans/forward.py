@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.scan import IN_LIST, bindings, complete, connected_order, head_rows, name, natural_join
@@ -20,7 +20,7 @@ DRIVER_ROWS = 2_000
 class Compiled:
     """A rule with its schema part evaluated: ``side`` has a column for each of its variables.
 
-    ``rows`` are the side's rows where there are few, else None.
+    ``rows`` are the side's rows where there are few, else None; then the side is a written table.
     """
 
     name: str
@@ -29,31 +29,51 @@ class Compiled:
     side: DataFrame | None = None
     rows: list[dict[str, int]] | None = None
     variables: tuple[str, ...] = field(default=())
+    _known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def values(self, term) -> list[int] | None:
-        """What a term can be: an id, the side's values of a variable, or None if unknown."""
+        """What a term can be: an id, the side's values of a variable, or None if unknown or too many for a filter."""
         if not is_variable(term):
             return [term]
-        if self.rows is None or term not in self.variables:
+        if term not in self.variables:
             return None
-        return sorted({r[name(term)] for r in self.rows})
+        if term not in self._known:
+            if self.rows is not None:
+                found = {r[name(term)] for r in self.rows}
+            else:
+                found = {r[0] for r in self.side.select(name(term)).distinct().limit(IN_LIST + 1).collect()}
+            self._known[term] = sorted(found) if self.rows is not None or len(found) <= IN_LIST else None
+        return self._known[term]
 
     def known(self) -> dict[str, list[int]]:
         return {v: self.values(v) for v in self.variables if self.values(v) is not None}
 
+    def fitting(self, wanted: dict[str, set[int]], most: int) -> list[dict[str, int]] | None:
+        """The bindings in which each of some variables has one of the values; None if there are more than ``most``."""
+        if self.rows is not None:
+            return [r for r in self.rows if all(r[name(v)] in x for v, x in wanted.items())]
+        side = self.side
+        for v, x in wanted.items():
+            if len(x) <= IN_LIST:
+                side = side.where(F.col(name(v)).isin(sorted(x)))
+            else:
+                side = side.join(side.sparkSession.createDataFrame([(i,) for i in sorted(x)], f"`{name(v)}` bigint"), name(v), "left_semi")
+        found = side.limit(most + 1).collect()
+        return [r.asDict() for r in found] if len(found) <= most else None
+
 
 def with_side(spark, rule_name: str, head: Atom, body: tuple[Atom, ...], side: DataFrame, variables: list[str]) -> Compiled | None:
     """A compiled rule on the side's distinct bindings; None where there are none."""
     needed = [v for v in variables if v in head.variables() or any(v in a.variables() for a in body)]
     columns = [name(v) for v in needed]
-    side = side.select(*columns).distinct() if columns else side.select(F.lit(1).alias("__any")).distinct()
-    first = side.limit(DRIVER_ROWS + 1).collect()
-    if not first:
+    if not columns:
+        return Compiled(rule_name, head, body, None, [{}], ()) if side.limit(1).count() else None
+    side, n = Workspace(spark, "side").save_counted(side.select(*columns).distinct(), "side")
+    if not n:
         return None
-    if len(first) > DRIVER_ROWS:
+    if n > DRIVER_ROWS:
         return Compiled(rule_name, head, body, side, None, tuple(needed))
-    if not columns:
-        return Compiled(rule_name, head, body, None, [{}], ())
+    first = side.collect()
     local = spark.createDataFrame([tuple(r) for r in first], ", ".join(f"`{c}` bigint" for c in columns))
     return Compiled(rule_name, head, body, local, [r.asDict() for r in first], tuple(needed))
 
@@ -68,8 +88,9 @@ def from_rows(spark, rule_name: str, head: Atom, body: tuple[Atom, ...], rows: l
     if not columns:
         return Compiled(rule_name, head, body, None, [{}], ())
     side = spark.createDataFrame(distinct, ", ".join(f"`{c}` bigint" for c in columns))
-    few = [dict(zip(columns, r)) for r in distinct] if len(distinct) <= DRIVER_ROWS else None
-    return Compiled(rule_name, head, body, side, few, tuple(needed))
+    if len(distinct) > DRIVER_ROWS:
+        return Compiled(rule_name, head, body, Workspace(spark, "side").save(side, "side"), None, tuple(needed))
+    return Compiled(rule_name, head, body, side, [dict(zip(columns, r)) for r in distinct], tuple(needed))
 
 
 def _stars(rule: Compiled) -> list[list[int]]:
@@ -117,6 +138,42 @@ def _can_feed(rule: Compiled, atom: Atom, fresh: set[tuple[int, int | None]] | N
     return False
 
 
+def is_chain(rule: Compiled) -> bool:
+    """Whether a rule says that statements of a property follow each other: x p y and y p z give x p z."""
+    if len(rule.body) != 2:
+        return False
+    h, (first, second) = rule.head, sorted(rule.body, key=lambda a: a.s != rule.head.s)
+    return (
+        h.p == first.p == second.p and (not is_variable(h.p) or h.p in rule.variables)
+        and h.s == first.s and h.o == second.o and first.o == second.s and len({h.s, h.o, first.o}) == 3
+        and all(map(is_variable, (h.s, h.o, first.o))) and not any(v in rule.variables for v in (h.s, h.o, first.o))
+    )
+
+
+def strata(rules: list[Compiled]) -> list[list[Compiled]]:
+    """The rules, whose predicates are ids, in groups that only need what groups before them and they themselves conclude."""
+    needs: dict[int, set[int]] = {}
+    for r in rules:
+        needs.setdefault(r.head.p, set()).update(a.p for a in r.body)
+    reach = {p: set(x) for p, x in needs.items()}
+    while True:
+        grown = {p: x.union(*(reach.get(q, set()) for q in x)) for p, x in reach.items()}
+        if grown == reach:
+            break
+        reach = grown
+    groups: dict[frozenset, list[Compiled]] = {}
+    for r in rules:
+        own = frozenset({q for q in reach[r.head.p] if r.head.p in reach.get(q, ())} | {r.head.p})
+        groups.setdefault(own, []).append(r)
+    order: list[frozenset] = []
+    left = list(groups)
+    while left:
+        ready = next(g for g in left if not any(h is not g and any(q in h for p in g for q in reach.get(p, ())) for h in left))
+        left.remove(ready)
+        order.append(ready)
+    return [groups[g] for g in order]
+
+
 @dataclass
 class Closure:
     """``derived``: the distinct statements the rules add to the explicit ones."""
@@ -129,8 +186,8 @@ class Closure:
         return self.explicit.unionByName(self.derived)
 
 
-def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure") -> Closure:
-    """Semi-naive evaluation of the rules until nothing new comes.
+def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure", until: Column | None = None) -> Closure:
+    """Semi-naive evaluation of the rules until nothing new comes, or a new statement fits ``until``.
 
     Each round joins what the last one added, at each body atom in turn, with
     everything known at the others, keeps what is new, and writes it.  A rule is
@@ -185,6 +242,8 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure")
         if not n:
             break
         parts.append(delta)
+        if until is not None and delta.where(until).limit(1).count():
+            break
         kinds = delta.select("p", F.when(F.col("p") == TYPE, F.col("o")).alias("c")).distinct()
         found = kinds.limit(DRIVER_ROWS + 1).collect()
         fresh = {(x["p"], x["c"]) for x in found} if len(found) <= DRIVER_ROWS else None

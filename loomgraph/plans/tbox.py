@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import terms as T
+from loomgraph.operators.hierarchy import closed_pairs
 from loomgraph.operators.scan import bindings, complete, connected_order, name, natural_join
 from loomgraph.plans import local
-from loomgraph.plans.forward import DRIVER_ROWS, Closure, Compiled, fixpoint, from_rows, with_side
+from loomgraph.plans.forward import DRIVER_ROWS, Closure, Compiled, fixpoint, from_rows, is_chain, strata, with_side
 from loomgraph.plans.rules import Atom, Profile, Rule, is_variable, unrolled
 from loomgraph.workspace import Workspace
 
@@ -93,6 +94,8 @@ class TBox:
         self.profile = profile
         self.after = after or profile
         self._given = lists
+        #: statements of ``statements`` that are not stated but were concluded about instances
+        self.more: DataFrame | None = None
         self.facts: local.Facts | None = None
         own = schema_triples(statements).distinct()
         few = own.limit(DRIVER_ROWS + 1).collect() if on_driver else []
@@ -130,9 +133,40 @@ class TBox:
                 return
             except local.TooLarge:
                 self.facts = None
-        self.closure = fixpoint(self.explicit, live, "tbox-closure")
+        self.closure = self._closed(live)
         self.closed = self.ws.save(self.closure.all().distinct(), "closed")
 
+    def _closed(self, rules: list[Compiled]) -> Closure:
+        """The closure group by group; a group that only says that one property is transitive has its
+        own way, the others between two of these are taken together."""
+        facts = [r for r in rules if not r.body]
+        found = [fixpoint(self.explicit, facts, "tbox-facts")] if facts else []
+        groups: list[list[Compiled]] = []
+        for group in strata([r for r in rules if r.body]):
+            alone = len(group) == 1 and is_chain(group[0])
+            if groups and not alone and not (len(groups[-1]) == 1 and is_chain(groups[-1][0])):
+                groups[-1] += group
+            else:
+                groups.append(group)
+        for group in groups:
+            known = found[-1].all() if found else self.explicit
+            if len(group) == 1 and is_chain(group[0]):
+                p = group[0].head.p
+                links = known.where(F.col("p") == p).select(F.col("s").alias("top"), F.col("o").alias("bottom")).distinct()
+                tables = closed_pairs(self.ws, links, [])[1:]
+                if tables:
+                    pairs = self.spark.read.schema(tables[0].schema).parquet(*[t._loomgraph_path for t in tables]).where("new")
+                    found.append(Closure(known, pairs.select(F.col("top").alias("s"), F.lit(p).cast("bigint").alias("p"), F.col("bottom").alias("o")), len(tables)))
+            else:
+                found.append(fixpoint(known, group, "tbox-closure"))
+        derived = reduce(DataFrame.unionByName, [c.derived for c in found]) if found else self.explicit.where("false")
+        return Closure(self.explicit, derived, sum(c.rounds for c in found))
+
+    @property
+    def derived(self) -> DataFrame:
+        """All of the schema that is not stated."""
+        return self.closure.derived if self.more is None else self.closure.derived.unionByName(self.more)
+
     def _frame(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, "s bigint, p bigint, o bigint")
 

@@ -1,14 +1,12 @@
 """Files of triples, lists, dictionaries and N-Triples.
 
-The binary formats hold big-endian numbers.  Paths of files that workers open
-themselves must be mounted on all executors.
+The binary formats hold big-endian numbers.  A path is one on a file system that
+all executors see, or the URI of one (``hdfs://``, ``s3://``, ``gs://``, ``file://``).
 """
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
 import struct
 import uuid
 import zlib
@@ -16,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +24,11 @@ RECORD = 24
 CHUNK = 1 << 20
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def _inflate(content: bytes) -> Iterator[bytes]:
     """The unpacked bytes of a gzip stream, member after member, in bounded pieces."""
     data = content
@@ -71,24 +75,26 @@ def write_triple_files(triples: DataFrame, path: str, order: str = "spo") -> int
     Each file appears under its name only when it is complete, so a task that is
     run again leaves no half-written or doubled one.
     """
-    os.makedirs(path, exist_ok=True)
+    there, folder = _place(path)
+    there.create_dir(folder)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        hidden = f"{path}/_{uuid.uuid4().hex}"
+        fs, folder = _place(path)
+        hidden = f"{folder}/_{uuid.uuid4().hex}"
         n = 0
-        with gzip.open(hidden, "wb") as f:
+        with fs.open_output_stream(hidden, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb") as f:
             for b in batches:
                 terms = np.column_stack([c.to_numpy() for c in b.columns]).astype(">i8") if b.num_rows else None
                 if terms is not None:
                     f.write(terms.tobytes())
                     n += b.num_rows
         if n:
-            os.replace(hidden, f"{path}/{order}-{part:05d}_00")
+            fs.move(hidden, f"{folder}/{order}-{part:05d}_00")
         else:
-            os.remove(hidden)
+            fs.delete_file(hidden)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     rows = triples.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select(*order)
@@ -147,29 +153,35 @@ def read_list_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_list_file(lists: DataFrame, path: str) -> None:
-    """Writes lists to one gzip file; lists are schema and small."""
-    heads: dict[int, dict[int, list]] = {}
-    for r in lists.select("head", "list_id", "pos", "el").distinct().orderBy("head", "list_id", "pos").toLocalIterator():
-        heads.setdefault(r["head"], {}).setdefault(r["list_id"], []).append(r["el"])
-    with gzip.open(path, "wb") as f:
-        for head, own in heads.items():
-            f.write(struct.pack(">qi", head, len(own)))
-            for els in own.values():
-                f.write(struct.pack(f">i{len(els)}q", len(els), *els))
+    """Writes lists to one gzip file, as the format has it; they pass through the driver one after the other."""
+    fs, at = _place(path)
+    rows = lists.select("head", "list_id", "pos", "el").na.drop().distinct()
+    els = F.transform(F.array_sort(F.collect_list(F.struct("pos", "el"))), lambda x: x["el"])
+    whole = rows.groupBy("head", "list_id").agg(els.alias("els"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("list_id", "els"))), lambda x: x["els"])
+    with fs.open_output_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw, mode="wb") as f:
+        for r in whole.groupBy("head").agg(own.alias("lists")).orderBy("head").toLocalIterator():
+            f.write(struct.pack(">qi", r["head"], len(r["lists"])))
+            for x in r["lists"]:
+                f.write(struct.pack(f">i{len(x)}q", len(x), *x))
+
+
+INDEX, TEXTS, ENTRY = "index_sorted.data", "text.data", 20
 
 
 def read_dictionary_files(spark: SparkSession, path: str) -> DataFrame:
     """``(id, text)`` of a folder with ``index_sorted.data`` (id, offset, length) and ``text.data``."""
-    index, texts = f"{path}/index_sorted.data", f"{path}/text.data"
-    n = os.path.getsize(index) // 20
+    there, folder = _place(path)
+    n = there.get_file_info(f"{folder}/{INDEX}").size // ENTRY
     step = CHUNK // 16
 
     def run(batches):
+        fs, folder = _place(path)
         for b in batches:
             for chunk in b.column(0).to_pylist():
-                with open(index, "rb") as f, open(texts, "rb") as t:
-                    f.seek(chunk * step * 20)
-                    raw = f.read(20 * min(step, n - chunk * step))
+                with fs.open_input_file(f"{folder}/{INDEX}") as f, fs.open_input_file(f"{folder}/{TEXTS}") as t:
+                    f.seek(chunk * step * ENTRY)
+                    raw = f.read(ENTRY * min(step, n - chunk * step))
                     ids, out = [], []
                     for key, offset, length in struct.iter_unpack(">qqi", raw):
                         t.seek(offset)
@@ -181,28 +193,68 @@ def read_dictionary_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dictionary_files(dictionary: DataFrame, path: str) -> None:
-    """Writes the two dictionary files, the index in the order of ids."""
-    os.makedirs(path, exist_ok=True)
+    """Writes the two dictionary files, the index in the order of ids.
+
+    Tasks write the stretches of the sorted order as files of their own; what
+    comes to the driver is each stretch's size, and the bytes of the finished
+    stretches, which it copies one after the other, as the format is two files.
+    """
+    spark = dictionary.sparkSession
+    there, folder = _place(path)
+    there.create_dir(folder)
     rows = dictionary.where("id IS NOT NULL AND text IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    rows = Workspace(spark, "dictionary").save(rows, "texts")  # ranges are found in one pass and used in another
+    run_id = uuid.uuid4().hex
+
+    def run(batches):
+        fs, folder = _place(path)
+        name, first, size, n = uuid.uuid4().hex, None, 0, 0
+        with fs.open_output_stream(f"{folder}/_{run_id}-{name}-i", compression=None) as i, fs.open_output_stream(f"{folder}/_{run_id}-{name}-t", compression=None) as t:
+            for b in batches:
+                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    raw = text.encode()
+                    i.write(struct.pack(">qqi", key, size, len(raw)))
+                    t.write(raw)
+                    first = key if first is None else first
+                    size, n = size + len(raw), n + 1
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([size]), pa.array([n])], ["name", "first", "size", "n"])
+
+    parts = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "name string, first bigint, size bigint, n bigint").where("n > 0").collect()
     offset = 0
-    with open(f"{path}/index_sorted.data", "wb") as f, open(f"{path}/text.data", "wb") as t:
-        for r in rows.orderBy("id").toLocalIterator():
-            raw = r["text"].encode()
-            f.write(struct.pack(">qqi", r["id"], offset, len(raw)))
-            t.write(raw)
-            offset += len(raw)
-
-
-def check_dictionary_sorted(path: str) -> bool:
-    """Whether the ids of ``index_sorted.data`` rise strictly."""
-    last = None
-    with open(f"{path}/index_sorted.data", "rb") as f:
-        while raw := f.read(20 * 4096):
-            ids = np.array([k for k, _, _ in struct.iter_unpack(">qqi", raw)])
-            if (np.diff(ids) <= 0).any() or (last is not None and ids[0] <= last):
-                return False
-            last = ids[-1]
-    return True
+    with there.open_output_stream(f"{folder}/{INDEX}", compression=None) as index, there.open_output_stream(f"{folder}/{TEXTS}", compression=None) as texts:
+        for p in sorted(parts, key=lambda p: p["first"]):
+            with there.open_input_stream(f"{folder}/_{run_id}-{p['name']}-i", compression=None) as f:
+                while raw := f.read(ENTRY * 4096):
+                    entries = np.frombuffer(raw, [("id", ">i8"), ("offset", ">i8"), ("length", ">i4")]).copy()
+                    entries["offset"] += offset
+                    index.write(entries.tobytes())
+            with there.open_input_stream(f"{folder}/_{run_id}-{p['name']}-t", compression=None) as f:
+                while raw := f.read(CHUNK):
+                    texts.write(raw)
+            offset += p["size"]
+    for info in there.get_file_info(pafs.FileSelector(folder)):
+        if info.base_name.startswith(f"_{run_id}"):
+            there.delete_file(info.path)
+
+
+def check_dictionary_sorted(spark: SparkSession, path: str) -> bool:
+    """Whether the ids of ``index_sorted.data`` rise strictly: each task looks at a stretch and the entry before it."""
+    there, folder = _place(path)
+    n = there.get_file_info(f"{folder}/{INDEX}").size // ENTRY
+    step = CHUNK
+
+    def run(batches):
+        fs, folder = _place(path)
+        for b in batches:
+            for chunk in b.column(0).to_pylist():
+                with fs.open_input_file(f"{folder}/{INDEX}") as f:
+                    first = max(0, chunk * step - 1)
+                    f.seek(first * ENTRY)
+                    raw = f.read(ENTRY * (min(n, (chunk + 1) * step) - first))
+                ids = np.frombuffer(raw, [("id", ">i8"), ("offset", ">i8"), ("length", ">i4")])["id"].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([int((np.diff(ids) <= 0).sum())])], ["wrong"])
+
+    return not spark.range(max(1, -(-n // step))).mapInArrow(run, "wrong bigint").where("wrong > 0").limit(1).count()
 
 
 _TERM = r'(<[^<>"{}|^`\\\s]*>|_:[\w.\-]+|"(?:[^"\\]|\\.)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?)'
@@ -244,4 +296,6 @@ def encode(ntriples: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataF
 
 
 def local_files(path: str) -> list[str]:
-    return sorted(p for p in glob.glob(f"{path}/*") if not os.path.basename(p).startswith("_"))
+    """The files of a folder that are complete."""
+    fs, folder = _place(path)
+    return sorted(x.path for x in fs.get_file_info(pafs.FileSelector(folder)) if not x.base_name.startswith("_"))

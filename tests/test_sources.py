@@ -41,10 +41,10 @@ def test_dictionary_files(spark, tmp_path):
     data = [(5, "<http://x/é>"), (0, '"a"'), (1 << 50, ""), (5, "<http://x/é>"), (6, None), (None, "x")]
     files.write_dictionary_files(spark.createDataFrame(data, "id long, text string"), f"{tmp_path}/d")
     assert rows(files.read_dictionary_files(spark, f"{tmp_path}/d")) == [(0, '"a"'), (5, "<http://x/é>"), (1 << 50, "")]
-    assert files.check_dictionary_sorted(f"{tmp_path}/d")
+    assert files.check_dictionary_sorted(spark, f"{tmp_path}/d")
     raw = (tmp_path / "d" / "index_sorted.data").read_bytes()
     (tmp_path / "d" / "index_sorted.data").write_bytes(raw[20:] + raw[:20])
-    assert not files.check_dictionary_sorted(f"{tmp_path}/d")
+    assert not files.check_dictionary_sorted(spark, f"{tmp_path}/d")
 
 
 def test_ntriples(spark, tmp_path):
