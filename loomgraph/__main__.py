@@ -4,6 +4,7 @@
         (--pattern "S P O" | --sparql FILE | --closure) [--rules PROFILE-OR-FILE]
         [--after-rules PROFILE-OR-FILE] [--no-reasoning] [--exclude-explicit] [--no-query-optim]
         [--exclude-implicit-cardinality] [--lexical] [--select-all] [--n-results N]
+        [--intermediate-stats] [--tag-explicit]
 
 -1 in a pattern stands for any term.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import SparkSession
 
 from loomgraph.engine import Engine
 from loomgraph.plans.rules import PROFILES, Profile, parse_rule_file
+from loomgraph.workspace import Workspace
 
 
 def main(args: list[str] | None = None) -> int:
@@ -37,6 +39,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--after-rules", help="rules on instances, once the others have closed the schema")
     p.add_argument("--no-query-optim", action="store_true", help="join the patterns in the order of the query")
     p.add_argument("--exclude-implicit-cardinality", action="store_true", help="estimate by what is stated only")
+    p.add_argument("--intermediate-stats", action="store_true", help="print the rows of each intermediate table")
+    p.add_argument("--tag-explicit", action="store_true", help="say of each answer of a pattern whether it is stated")
     p.add_argument("--n-results", type=int, default=10)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
@@ -51,7 +55,7 @@ def main(args: list[str] | None = None) -> int:
         terms = [None if int(x) == -1 else int(x) for x in a.pattern.split()]
         if len(terms) != 3:
             p.error("a pattern has three terms")
-        rows = e.pattern(*terms, reason=not a.no_reasoning, exclude_explicit=a.exclude_explicit)
+        rows = e.pattern(*terms, reason=not a.no_reasoning, exclude_explicit=a.exclude_explicit, tag_explicit=a.tag_explicit)
     else:
         text = Path(a.sparql).read_text()
         rows = e.sparql(
@@ -62,6 +66,9 @@ def main(args: list[str] | None = None) -> int:
     print(f"Time execution = {(time.time() - began) * 1000:.0f}\nTriples = {n}")
     for r in e.answer_lines(rows.orderBy(*rows.columns)).limit(a.n_results).collect():
         print(r["line"])
+    if a.intermediate_stats:
+        for operator, name, rows_written in Workspace.counts:
+            print(f"{operator} {name} {rows_written}")
     return 0
 
 

@@ -14,6 +14,7 @@ from loomgraph.plans import rules as R
 from loomgraph.plans.planner import predicate_statistics
 from loomgraph.plans.rules import Atom
 from loomgraph.plans.tbox import TBox, assemble_lists, subset
+from loomgraph.sources import files
 from loomgraph.sources import relational as X
 from loomgraph.sources.store import compact, insert, read_store, read_subsets, scan_store, write_store, write_subsets
 from loomgraph.sources.tables import table
@@ -194,6 +195,50 @@ def insert_delta(spark, d):
     return read_store(spark, path).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WHOLE = "WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL"
+
+
+@query(f"SELECT s, p, o FROM triples {_WHOLE}")
+def triple_files(spark, d):
+    """Written as binary triple files in object order and read back; repeated rows stay."""
+    path = Workspace(spark, "files").root
+    files.write_triple_files(triples(spark, d), path, "pos")
+    return files.read_triple_files(spark, path, "pos").select("s", "p", "o")
+
+
+@query(f"SELECT s AS first_term, p AS second_term, o AS third_term FROM triples {_WHOLE} ORDER BY s, p, o LIMIT 1")
+def first_of_files(spark, d):
+    """The first records of sorted triple files; the least of them is the least of all."""
+    path = Workspace(spark, "files").root
+    t = complete(triples(spark, d))
+    files.write_triple_files(t.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o"), path)
+    return files.first_elements(spark, path).drop("src_file").orderBy("first_term", "second_term", "third_term").limit(1)
+
+
+@query("SELECT DISTINCT head, CAST(n - 1 AS INT) AS list_id, pos, el FROM (SELECT *, dense_rank() OVER (PARTITION BY head ORDER BY list_id) AS n FROM (SELECT head, list_id, CAST(row_number() OVER (PARTITION BY head, list_id ORDER BY pos, el) - 1 AS INT) AS pos, el FROM (SELECT DISTINCT head, list_id, pos, el FROM lists WHERE head IS NOT NULL AND list_id IS NOT NULL AND pos IS NOT NULL AND el IS NOT NULL)))")
+def list_files(spark, d):
+    """Lists written to a list file and read back; lists of a head and their elements are numbered anew."""
+    path = Workspace(spark, "files").root
+    files.write_list_file(table(spark, d, "lists"), path)
+    return files.read_list_file(spark, path)
+
+
+@query(f"SELECT id, text, true AS sorted FROM {_DICT}")
+def dictionary_files(spark, d):
+    """The dictionary written as index and texts, checked and read back."""
+    path = Workspace(spark, "files").root
+    files.write_dictionary_files(table(spark, d, "dictionary"), path)
+    return files.read_dictionary_files(spark, path).withColumn("sorted", F.lit(files.check_dictionary_sorted(spark, path)))
+
+
+@query(f"SELECT DISTINCT a.s, 700 AS p, b.o FROM {_T} a JOIN {_T} b ON a.o = b.s WHERE a.p = 101 AND b.p = 104")
+def rule_file(spark, d):
+    """Rules read from a rule file: two properties in a row make a third."""
+    text = "3\t(?a 700 ?c) :- (?p 4 701)@[rdfs-subproperties],(?q 4 702)@[rdfs-subproperties]@@(?a ?p ?b),(?b ?q ?c)\n"
+    profile = R.Profile("own", R.parse_rule_file(text))
+    return Engine(triples(spark, d), X.statements(spark, [(101, 4, 701), (104, 4, 702)]), profile=profile).pattern(None, 700, None)
+
+
 # Basic graph patterns
 
 _ORDER, _PART, _SUPP, _CUST, _NATION, _REGION = (f"{i}000000000000" for i in (6, 5, 4, 3, 2, 1))

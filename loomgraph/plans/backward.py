@@ -343,7 +343,7 @@ def relevant(goal: tuple, rules: list[Compiled]) -> tuple[list[Compiled], set[in
                 side = side.sparkSession.createDataFrame(
                     [tuple(r[c] for c in columns) for r in rows], ", ".join(f"`{c}` bigint" for c in columns)
                 )
-            out.append(replace(rule, side=side, rows=rows))
+            out.append(replace(rule, side=side, rows=rows, _known={}))
     predicates = None if any(p is None for p, _ in seen) else {p for p, _ in seen}
     return out, predicates
 

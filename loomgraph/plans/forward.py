@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,6 +150,58 @@ def is_chain(rule: Compiled) -> bool:
     )
 
 
+def _grounded(rule: Compiled, row: dict[str, int]) -> tuple:
+    """A rule under one binding as ``(head, body)``, its other variables numbered as they come."""
+    values: dict = {v: row[name(v)] for v in rule.variables}
+
+    def of(t):
+        return values.setdefault(t, f"?{len(values)}") if is_variable(t) else t
+
+    head = tuple(map(of, rule.head.terms()))
+    return _numbered(head, tuple((*map(of, a.terms()), a.symmetric) for a in rule.body))
+
+
+def _numbered(head: tuple, body: tuple) -> tuple:
+    names: dict = {}
+
+    def of(t):
+        return names.setdefault(t, f"?{len(names)}") if is_variable(t) else t
+
+    return tuple(map(of, head)), tuple(tuple(map(of, a)) for a in body)
+
+
+def simplified(rules: list[Compiled]) -> list[Compiled]:
+    """The rules without bindings that others make needless.
+
+    Under a binding a rule says the same as another one, or has one body atom
+    with an id where the same conclusion is drawn from any term at that place,
+    as a value of a property where the property's domain is already the class.
+    """
+    known = {_grounded(r, x) for r in rules if r.rows is not None and len(r.body) == 1 for x in r.rows}
+    seen: set = set()
+    out = []
+    for r in rules:
+        if r.rows is None or not r.body:
+            out.append(r)
+            continue
+        rows = []
+        for x in r.rows:
+            head, body = key = _grounded(r, x)
+            wider = []
+            if len(body) == 1:
+                wider = [_numbered(head, (tuple("?any" if i == k else t for i, t in enumerate(body[0])),)) for k in (0, 2) if not is_variable(body[0][k])]
+            if key not in seen and not any(w in known for w in wider):
+                rows.append(x)
+            seen.add(key)
+        if len(rows) == len(r.rows):
+            out.append(r)
+        elif rows:
+            columns = [name(v) for v in r.variables]
+            side = r.side.sparkSession.createDataFrame([tuple(x[c] for c in columns) for x in rows], ", ".join(f"`{c}` bigint" for c in columns))
+            out.append(replace(r, side=side, rows=rows, _known={}))
+    return out
+
+
 def strata(rules: list[Compiled]) -> list[list[Compiled]]:
     """The rules, whose predicates are ids, in groups that only need what groups before them and they themselves conclude."""
     needs: dict[int, set[int]] = {}

@@ -11,7 +11,7 @@ from loomgraph import terms as T
 from loomgraph.operators.hierarchy import closed_pairs
 from loomgraph.operators.scan import bindings, complete, connected_order, name, natural_join
 from loomgraph.plans import local
-from loomgraph.plans.forward import DRIVER_ROWS, Closure, Compiled, fixpoint, from_rows, is_chain, strata, with_side
+from loomgraph.plans.forward import DRIVER_ROWS, Closure, Compiled, fixpoint, from_rows, is_chain, simplified, strata, with_side
 from loomgraph.plans.rules import Atom, Profile, Rule, is_variable, unrolled
 from loomgraph.workspace import Workspace
 
@@ -234,4 +234,4 @@ class TBox:
                 side, variables = self._schema(r.schema, self.closed)
                 made = with_side(self.spark, r.name, r.head, r.body, side, variables)
                 out += [made] if made else []
-        return out
+        return simplified(out)

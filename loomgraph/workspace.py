@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -69,8 +70,12 @@ class Workspace:
     folder; ``drop`` deletes a table no later plan reads any more.
     """
 
+    #: ``(operator, table, rows)`` of the last counted tables of all runs
+    counts: deque[tuple[str, str, int]] = deque(maxlen=10_000)
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.name = name
         self.root = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
 
@@ -87,7 +92,9 @@ class Workspace:
         seen = Observation()
         counted = F.count(F.lit(1)) if which is None else F.count_if(which)
         out = self.save(df.observe(seen, counted.alias("n")), name)
-        return out, seen.get["n"]
+        n = seen.get["n"]
+        Workspace.counts.append((self.name, name, n))
+        return out, n
 
     def settled(self, df: DataFrame, name: str = "base") -> DataFrame:
         """A plan that is read several times: itself if it is a scan, else written once."""

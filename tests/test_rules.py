@@ -268,3 +268,60 @@ def test_list_assembly_has_every_list_of_a_head(spark, tmp_path):
     spark.createDataFrame(data, "head long, list_id int, pos int, el long").write.parquet(f"{tmp_path}/lists.parquet")
     got = sorted(tuple(r) for r in list_assembly(spark, str(tmp_path)).select("head", "list_id", "pos", "el").collect())
     assert got == [(7, 0, 0, 71), (7, 0, 1, 70), (7, 1, 0, 72), (7, 1, 1, 70), (8, 1, 0, 7), (10**15 + 7, 0, 0, 73)]
+
+
+def test_schema_that_follows_by_instance_rules(spark):
+    e = Engine(frame(spark, [(300, 5, 10), (100, 0, 300), (1000, 100, 1001), (1001, 100, 1002)]))
+    assert (1000, 100, 1002) in rows(e.pattern(1000, 100, None)) and (1000, 100, 1002) in rows(e.forward())
+    e = Engine(frame(spark, [(900, 4, 5), (400, 900, 401), (5000, 0, 400)]))
+    assert rows(e.pattern(None, 0, 401)) == [(5000, 0, 401)]
+    assert {(400, 5, 401), (5000, 0, 401)} <= set(rows(e.forward()))
+
+
+def test_bound_goals_follow_a_transitive_property(spark):
+    from loomgraph.workspace import Workspace
+
+    data = [(c * 1000 + i, P, c * 1000 + i + 1) for c in range(1, 21) for i in range(40)] + [(1040, P, 1000), (2010, Q, 3010)]
+    e = Engine(frame(spark, data), frame(spark, [(P, 0, 10), (Q, 4, P), (U, 12, P)]))
+    Workspace.counts.clear()
+    assert {o for _, _, o in rows(e.pattern(5003, P, None))} == set(range(5004, 5041))
+    written = sum(n for op, t, n in Workspace.counts if (op, t) == ("reach", "new"))
+    assert written == 37
+    assert {o for _, _, o in rows(e.pattern(2000, P, None))} == {*range(2001, 2041), *range(3010, 3041)}
+    assert {o for _, _, o in rows(e.pattern(1007, P, None))} == set(range(1000, 1041))  # a ring
+    assert {s for s, _, _ in rows(e.pattern(None, P, 3012))} == {*range(3000, 3012), *range(2000, 2011)}
+    assert rows(e.pattern(2000, P, 3040)) == [(2000, P, 3040)] and rows(e.pattern(3000, P, 2001)) == []
+    assert {s for s, _, _ in rows(e.pattern(None, U, 2000))} == {*range(2001, 2041), *range(3010, 3041)}  # the inverse
+    seeds = spark.createDataFrame([(4000,), (4020,), (77,)], "s long")
+    assert e.pattern(None, P, None, seeds={"s": seeds}).count() == 40 + 20
+    got = e.bgp([Atom(4030, P, "?x"), Atom("?x", P, "?y")])
+    assert got.count() == 10 * 9 // 2
+
+
+def test_many_bindings_are_looked_up_by_goal(spark):
+    """A hierarchy with more pairs than go to the driver, answered without deriving all members."""
+    from loomgraph.plans.backward import rewrite
+
+    n = 90
+    e = Engine(frame(spark, [(7, 0, 300), (8, 0, 300 + n - 1), (9, 0, 300 + n)]), frame(spark, [(300 + i, 5, 301 + i) for i in range(n)]), profile=R.RDFS)
+    side = next(r for r in e.tbox.compiled if r.name == "cax-sco")
+    assert side.rows is None
+    assert len(rewrite((None, 0, 300 + n), e.tbox.compiled)) == n + 1
+    assert rows(e.pattern(None, 0, 300 + n)) == [(7, 0, 300 + n), (8, 0, 300 + n), (9, 0, 300 + n)]
+    assert rows(e.pattern(None, 0, 300 + n - 1)) == [(7, 0, 300 + n - 1), (8, 0, 300 + n - 1)]
+
+
+def test_needless_bindings_go(spark):
+    own = Profile("own", [rule("a", "?x TYPE ?c <- ?p DOMAIN ?c ; ?x ?p ?y"), rule("b", "?u TYPE ?d <- ?q DOMAIN ?d ; ?u ?q ?v"),
+                          rule("c", "?x TYPE ?c <- ?c HAS_VALUE ?v, ?c ON_PROPERTY ?p ; ?x ?p ?v")])
+    schema = [(P, 3, C), (Q, 3, D), (C, 15, 50), (C, 16, P), (D, 15, 51), (D, 16, P)]
+    e = Engine(frame(spark, [(a, P, b), (b, P, 51)]), frame(spark, schema), profile=own)
+    kept = {r.name: len(r.rows) for r in e.tbox.compiled}
+    assert kept == {"a": 2, "c": 1}  # b says what a says, and C needs no value
+    assert rows(e.forward()) == [(a, 0, C), (b, 0, C), (b, 0, D)]
+
+
+def test_whole_goals_stop_early_and_answers_are_tagged(spark):
+    e = Engine(frame(spark, [(a, P, b), (b, P, c)]), frame(spark, [(P, 4, Q), (P, 0, 10)]))
+    assert rows(e.pattern(a, P, c)) == [(a, P, c)] and rows(e.pattern(c, P, a)) == []
+    assert rows(e.pattern(None, P, None, tag_explicit=True)) == [(a, P, b, True), (a, P, c, False), (b, P, c, True)]

@@ -98,3 +98,8 @@ def test_command_line(engine, spark, tmp_path, capsys):
     assert capsys.readouterr().out.splitlines()[1:] == ["Triples = 1", "1 0 61"]
     main([*common, "--closure", "--n-results", "1"])
     assert len(capsys.readouterr().out.splitlines()) == 3
+
+
+def test_the_vocabulary_needs_no_dictionary(spark):
+    e = Engine(spark.createDataFrame([(1, 0, 207), (2, 5, 3)], "s long, p long, o long"))
+    assert [tuple(r) for r in e.sparql("SELECT ?x ?c { ?x a ?c }", reason=False).collect()] == [(1, 207)]
