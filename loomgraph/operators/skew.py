@@ -40,8 +40,29 @@ def at_least_share(n: Column, total: int, share: str) -> Column:
     return n * F.lit(f.denominator) >= F.lit(f.numerator * total)
 
 
-def heavy_keys(df: DataFrame, key: str, distinct: str, latest: str, share: str = "0.01") -> DataFrame:
-    """The rows of ``keyed_statistics`` whose key has at least ``share`` of the rows
-    in which the key is not null: the ids responsible for the imbalance."""
-    total = df.select(F.count(key).alias("n")).first()["n"]
-    return keyed_statistics(df, key, distinct, latest).where(at_least_share(F.col("n_rows"), total, share))
+def heavy_keys(df: DataFrame, keys: list[str], share: str = "0.01") -> DataFrame:
+    """``(field_name, val, n_rows)``: the keys with at least ``share`` (a decimal text) of the
+    rows in which their column is not null, the ids responsible for the imbalance.
+
+    Rows are counted per key in each task's bounded hash table before anything
+    is shuffled, so a hot key is one compact count a task.  The totals are one
+    pass with one result row.  An empty table gives no rows.
+    """
+    totals = df.select(*[F.count(c).alias(f"t{i}") for i, c in enumerate(keys)]).first()
+    out = None
+    for i, c in enumerate(keys):
+        counts = df.select(F.col(c).alias("val")).where(F.col("val").isNotNull()).groupBy("val").agg(F.count(F.lit(1)).alias("n_rows"))
+        part = counts.where(at_least_share(F.col("n_rows"), totals[f"t{i}"], share)).select(F.lit(c).alias("field_name"), "val", "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def heavy_statistics(df: DataFrame, keys: list[str], distinct: str, latest: str, share: str = "0.01") -> DataFrame:
+    """``field_name`` and the columns of ``keyed_statistics`` for the ``heavy_keys`` only: at most ``1 / share`` a column,
+    so that the other rows are left out before they are grouped."""
+    heavy, out = heavy_keys(df, keys, share).collect(), None
+    for c in keys:
+        own = [r["val"] for r in heavy if r["field_name"] == c]
+        part = keyed_statistics(df.where(F.col(c).isin(own)), c, distinct, latest).select(F.lit(c).alias("field_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import graph_queries
 from loomgraph.operators.hierarchy import Hierarchy
 from loomgraph.operators.rejects import parse_lines
-from loomgraph.operators.skew import heavy_keys, keyed_statistics
+from loomgraph.operators.skew import heavy_keys, heavy_statistics, keyed_statistics
 from loomgraph.sources.tables import table
 
 HOT_SHARE = "0.01"
@@ -28,11 +28,12 @@ def p3_valid(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids in at least 1 % of the rows of ``triples`` whose p, or s, is not null."""
-    t = table(spark, d, "triples")
-    parts = [
-        heavy_keys(t, c, "o", "loaded_at", HOT_SHARE).select(F.lit(c).alias("field_name"), "val") for c in ("p", "s")
-    ]
-    return parts[0].unionByName(parts[1])
+    return heavy_keys(table(spark, d, "triples"), ["p", "s"], HOT_SHARE).select("field_name", "val")
+
+
+def p4_heavy(spark: SparkSession, d: str) -> DataFrame:
+    """Statements, distinct objects and latest load of those ids."""
+    return heavy_statistics(table(spark, d, "triples"), ["p", "s"], "o", "loaded_at", HOT_SHARE)
 
 
 def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +70,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return graph_queries.queries() | {f.__name__: f for f in (p3_found, p3_valid, p4_found, p4_statistics, p5_found, p5_nodes, p5_descendants)}
+    return graph_queries.queries() | {f.__name__: f for f in (p3_found, p3_valid, p4_found, p4_heavy, p4_statistics, p5_found, p5_nodes, p5_descendants)}
 
 
 _P3 = r"""
@@ -134,6 +135,8 @@ def oracle_sql() -> dict:
         "p3_found": _P3 + "SELECT line_id, reason FROM verdicts WHERE reason IS NOT NULL",
         "p3_valid": _P3 + "SELECT line_id, CAST(a AS BIGINT) AS id, b AS text FROM verdicts WHERE reason IS NULL",
         "p4_found": "SELECT field_name, val FROM (" + every + """) WHERE n_rows * 100 >=
+  CASE field_name WHEN 'p' THEN (SELECT count(p) FROM triples) ELSE (SELECT count(s) FROM triples) END""",
+        "p4_heavy": "SELECT * FROM (" + every + """) WHERE n_rows * 100 >=
   CASE field_name WHEN 'p' THEN (SELECT count(p) FROM triples) ELSE (SELECT count(s) FROM triples) END""",
         "p4_statistics": every,
         "p5_found": _P5

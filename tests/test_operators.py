@@ -6,7 +6,7 @@ import pytest
 
 from loomgraph.operators.hierarchy import Hierarchy
 from loomgraph.operators.rejects import parse_lines
-from loomgraph.operators.skew import heavy_keys, keyed_statistics
+from loomgraph.operators.skew import heavy_keys, heavy_statistics, keyed_statistics
 
 LINES = [
     ("1\t<http://a>", None), ("2\t\"x\"\r", None), ("3\t\"x\\\"y\"@en-GB", None), ("4\t\"x\"^^<http://t>", None),
@@ -64,9 +64,10 @@ def test_keyed_statistics(spark):
 
 def test_heavy_keys_at_the_border(spark):
     df = spark.createDataFrame([(k, i, i) for k, n in ((1, 98), (2, 1), (3, 1), (None, 50)) for i in range(n)], "p long, o long, t long")
-    assert {r["val"] for r in heavy_keys(df, "p", "o", "t", "0.01").collect()} == {1, 2, 3}
-    assert {r["val"] for r in heavy_keys(df, "p", "o", "t", "0.011").collect()} == {1}
-    assert heavy_keys(df.limit(0), "p", "o", "t").count() == 0
+    assert {tuple(r) for r in heavy_keys(df, ["p"], "0.01").collect()} == {("p", 1, 98), ("p", 2, 1), ("p", 3, 1)}
+    assert {r["val"] for r in heavy_keys(df, ["p", "o"], "0.011").where("field_name = 'p'").collect()} == {1}
+    assert [tuple(r) for r in heavy_statistics(df, ["p"], "o", "t", "0.011").collect()] == [("p", 1, 98, 98, 97)]
+    assert heavy_keys(df.limit(0), ["p"]).count() == 0 and heavy_statistics(df.limit(0), ["p"], "o", "t").count() == 0
 
 
 def brute_paths(links):
