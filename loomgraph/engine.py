@@ -7,13 +7,13 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.scan import bindings, complete, name, natural_join, scan
+from loomgraph.operators.scan import IN_LIST, bindings, complete, name, natural_join, scan
 from loomgraph.plans import planner, sparql
 from loomgraph.plans.backward import answer, is_followed, restricted, schema_goals
-from loomgraph.plans.forward import Closure, fixpoint
+from loomgraph.plans.forward import Closure, derive, fixpoint, same_as_links
 from loomgraph.plans.rules import OWL2RL_SPEC, Atom, Profile, is_variable
 from loomgraph.plans.tbox import TBox, schema_triples
-from loomgraph.terms import lookup
+from loomgraph.terms import SAME_AS, lookup
 from loomgraph.workspace import Workspace
 
 
@@ -28,7 +28,7 @@ class Engine:
     ``lists`` (head, list_id, pos, el) the RDF lists, ``dictionary`` (id, text)
     the texts that SPARQL needs.  The rules of ``profile`` close the schema and,
     unless ``after`` has others for it, conclude about instances.  Statements with a null term do not count and
-    repeated ones count once.
+    repeated ones count once; ``once`` says that ``triples`` has none, as a store, which saves looking for them.
     """
 
     def __init__(
@@ -39,7 +39,9 @@ class Engine:
         dictionary: DataFrame | None = None,
         profile: Profile = OWL2RL_SPEC,
         after: Profile | None = None,
+        once: bool = False,
     ):
+        self.once = once
         self.spark = triples.sparkSession
         self.triples = complete(triples)
         self.schema = complete(schema) if schema is not None else None
@@ -82,6 +84,21 @@ class Engine:
         """What is known before rules on instances run: the statements and the closed schema."""
         return self.explicit.unionByName(self.tbox.derived)
 
+    @cached_property
+    def _schema_predicates(self) -> set[int] | None:
+        """The predicates of statements that are not in ``triples``; None if they are many."""
+        rows = self.tbox.derived if self.schema is None else self.schema.unionByName(self.tbox.derived)
+        found = rows.select("p").distinct().limit(IN_LIST + 1).collect()
+        return {r["p"] for r in found} if len(found) <= IN_LIST else None
+
+    def _known_for(self, p: int | None, reason: bool) -> tuple[DataFrame, bool]:
+        """What can have a predicate, and whether all of it is there once only."""
+        if not reason and self.schema is None:
+            return self.triples, self.once
+        if isinstance(p, int) and self.once and self._schema_predicates is not None and p not in self._schema_predicates:
+            return self.triples, True
+        return (self.known if reason else self.explicit), False
+
     @cached_property
     def _settled(self) -> Engine:
         """This engine over a computed input that has been written once, for queries of several patterns."""
@@ -89,7 +106,7 @@ class Engine:
         triples = ws.settled(self.triples)
         if triples is self.triples:
             return self
-        out = Engine(triples, self.schema, self.lists, self.dictionary, self.profile, self.after)
+        out = Engine(triples, self.schema, self.lists, self.dictionary, self.profile, self.after, self.once)
         if "tbox" in self.__dict__:
             out.__dict__["tbox"] = self.tbox
         out.__dict__["_settled"] = out
@@ -100,6 +117,21 @@ class Engine:
         """Everything that follows, derived ahead of time."""
         return fixpoint(self.known, self.tbox.compiled)
 
+    def same_as_links(self) -> DataFrame:
+        """``(s, p, o)``: what is the same as something else, stated or by rules on instances, as links that connect
+        each group instead of all pairs of it: as many as there are terms, not their square.
+
+        A rule whose links can't be told apart so gives its pairs.  What other rules conclude is known to these.
+        """
+        rules = self.tbox.compiled
+        known = fixpoint(self.known, [r for r in rules if r.head.p != SAME_AS], "same-as").all()
+        parts = [scan(known, p=SAME_AS)]
+        for r in rules:
+            if r.head.p == SAME_AS:
+                links = same_as_links(r, known)
+                parts.append(links if links is not None else derive(r, [known] * len(r.body)))
+        return reduce(DataFrame.unionByName, parts).distinct()
+
     def forward(self) -> DataFrame:
         """All conclusions, of the schema and about instances, without what is stated."""
         return self.tbox.derived.unionByName(self.closure.derived)
@@ -127,18 +159,21 @@ class Engine:
             rows = self.pattern(s, p, o, reason, exclude_explicit, ahead, seeds=seeds).join(stated, ["s", "p", "o"], "left")
             return rows.select("s", "p", "o", F.col("explicit").isNotNull().alias("explicit"))
         if not reason:
-            return restricted(scan(self.explicit, s, p, o), seeds or {})
+            base, once = self._known_for(p, False)
+            return restricted(scan(base, s, p, o, once), seeds or {})
         ids = tuple(x if isinstance(x, int) else None for x in (s, p, o))
         if ahead:
-            out = self.known.unionByName(self.closure.derived)
-        elif isinstance(p, (set, frozenset, list, tuple)):
-            parts = [answer(self.known, (ids[0], x, ids[2]), self.tbox.compiled, seeds) for x in sorted(set(p))]
-            out = parts[0]
-            for x in parts[1:]:
-                out = out.unionByName(x)
+            out = scan(self.known.unionByName(self.closure.derived), s, p, o)
         else:
-            out = answer(self.known, ids, self.tbox.compiled, seeds)
-        out = scan(out, s, p, o)
+            several = isinstance(p, (set, frozenset, list, tuple))
+            parts = []
+            for x in sorted(set(p)) if several else [ids[1]]:
+                _, once = self._known_for(x, True)
+                parts.append(answer(self.known, (ids[0], x, ids[2]), self.tbox.compiled, seeds, self.triples if once else None))
+            # answers are distinct, and so are those of several predicates
+            out = reduce(DataFrame.unionByName, parts) if parts else self.known.where("false")
+            if (s, o) != ids[::2] or isinstance(p, DataFrame):
+                out = scan(out, s, None if several else p, o, once=True)
         if exclude_explicit:
             out = out.join(scan(self.explicit, s, p, o), ["s", "p", "o"], "left_anti").select("s", "p", "o")
         return out

@@ -256,7 +256,7 @@ def bgp_star(spark, d):
     """Orders with their customer and parts, for customers of a segment."""
     g = X.graph(spark, d, [X.PLACED_BY, X.CONTAINS, X.SEGMENT])
     building = X.literals(spark, d, X.SEGMENT).where("text = 'BUILDING'").select("id")
-    e = Engine(g)
+    e = Engine(g, once=True)
     ids = [r["id"] for r in building.collect()]
     out = e.bgp(
         [Atom("?o", X.PLACED_BY, "?c"), Atom("?o", X.CONTAINS, "?p"), Atom("?c", X.SEGMENT, "?seg")],
@@ -273,7 +273,7 @@ JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) c ON c.l_suppkey = b.l
 @query(_TRIANGLE)
 def bgp_triangle(spark, d):
     g = X.graph(spark, d, [X.CONTAINS, X.SUPPLIED_BY, X.SUPPLIES])
-    out = Engine(g).bgp(
+    out = Engine(g, once=True).bgp(
         [Atom("?o", X.CONTAINS, "?p"), Atom("?o", X.SUPPLIED_BY, "?s"), Atom("?s", X.SUPPLIES, "?p")], reason=False
     )
     return out.select(X.key_of("o").alias("order"), X.key_of("p").alias("part"), X.key_of("s").alias("supplier"))
@@ -284,7 +284,7 @@ JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AN
 def bgp_multi_key(spark, d):
     """Customers supplied from their own nation: the last join is on two variables."""
     g = X.graph(spark, d, [X.LOCATED_IN, X.PLACED_BY, X.SUPPLIED_BY])
-    out = Engine(g).bgp(
+    out = Engine(g, once=True).bgp(
         [
             Atom("?o", X.PLACED_BY, "?c"),
             Atom("?o", X.SUPPLIED_BY, "?s"),
@@ -434,7 +434,7 @@ def _conclude(spark, d, tbox, goal, properties=(), classes=(), extra=None, rules
     g = reduce(DataFrame.unionByName, parts)
     profile = R.OWL2RL_SPEC.only(*rules) if rules else R.OWL2RL_SPEC
     made = None if lists is None else spark.createDataFrame(lists, "head bigint, list_id int, pos int, el bigint")
-    e = Engine(g, X.statements(spark, tbox), made, profile=profile)
+    e = Engine(g, X.statements(spark, tbox), made, profile=profile, once=extra is None)
     return e.pattern(*goal, exclude_explicit=derived)
 
 
@@ -672,6 +672,13 @@ def prp_fp(spark, d):
     return _keys(out, x="s", y="o")
 
 
+@query("SELECT s_suppkey AS x, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS y FROM supplier")
+def same_as_groups(spark, d):
+    """The same as links to one member of each group, where all pairs would be its square."""
+    e = Engine(X.graph(spark, d, [X.LEAD_SUPPLIER]), X.statements(spark, [(X.LEAD_SUPPLIER, T.TYPE, T.FUNCTIONAL)]))
+    return _keys(e.same_as_links(), x="s", y="o")
+
+
 @query(_SAME_NATION)
 def prp_ifp(spark, d):
     nations = table(spark, d, "supplier").select(
@@ -832,7 +839,7 @@ UNION ALL SELECT s_suppkey + 4000000000000, 100, n_regionkey + 1000000000000 FRO
 
 def _engine(spark, d, tbox, profile=R.OWL2RL_SPEC, properties=(X.PLACED_BY, X.SUPPLIED_BY, X.LOCATED_IN)) -> Engine:
     g = X.graph(spark, d, properties, [X.C_CUSTOMER, X.C_SUPPLIER])
-    return Engine(g, X.statements(spark, tbox), profile=profile)
+    return Engine(g, X.statements(spark, tbox), profile=profile, once=True)
 
 
 def _instances(df: DataFrame) -> DataFrame:
@@ -886,7 +893,7 @@ def _shop(spark, d, properties, classes=(X.C_CUSTOMER, X.C_SUPPLIER)) -> Engine:
     g = X.graph(spark, d, properties, classes)
     texts = spark.createDataFrame([(i, f"<{_IRI}{n}>") for i, n in _TEXTS.items()], "id bigint, text string")
     segments = X.literals(spark, d, X.SEGMENT).select("id", F.concat(F.lit('"'), "text", F.lit('"')).alias("text"))
-    return Engine(g, X.statements(spark, _PARTY_TBOX), dictionary=texts.unionByName(segments))
+    return Engine(g, X.statements(spark, _PARTY_TBOX), dictionary=texts.unionByName(segments), once=True)
 
 
 @query("SELECT c_custkey + 3000000000000 AS x FROM customer UNION ALL SELECT s_suppkey + 4000000000000 FROM supplier")

@@ -20,13 +20,14 @@ def complete(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
 
 
-def scan(triples: DataFrame, s: TermSet = None, p: TermSet = None, o: TermSet = None) -> DataFrame:
+def scan(triples: DataFrame, s: TermSet = None, p: TermSet = None, o: TermSet = None, once: bool = False) -> DataFrame:
     """The distinct statements that fit; a term is an id, a set of ids (list or
     one-column DataFrame) or None for any.
 
     Ids and short lists are pushed to the Parquet scan; longer lists and
     DataFrames become semi-joins, whose side Spark broadcasts if it is small.
-    Any number of the three terms may be sets.
+    Any number of the three terms may be sets.  With ``once`` the statements are
+    known to be distinct, and nothing is shuffled to make them so.
     """
     out = complete(triples)
     for column, term in (("s", s), ("p", p), ("o", o)):
@@ -43,7 +44,8 @@ def scan(triples: DataFrame, s: TermSet = None, p: TermSet = None, o: TermSet =
             else:
                 members = triples.sparkSession.createDataFrame([(v,) for v in values], f"{column} bigint")
                 out = out.join(members, column, "left_semi")
-    return out.select("s", "p", "o").distinct()
+    out = out.select("s", "p", "o")
+    return out if once else out.distinct()
 
 
 def name(variable: str) -> str:

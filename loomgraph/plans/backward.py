@@ -365,11 +365,12 @@ def _chains(explicit: DataFrame, r: Rewriting, rules: list[Compiled], seeds: dic
     return rows.select(*[(F.col(x) if isinstance(x, str) else F.lit(x).cast("bigint")).alias(c) for c, x in zip("spo", r.out)])
 
 
-def answer(explicit: DataFrame, goal: tuple, rules: list[Compiled], seeds: dict[str, DataFrame] | None = None, once: bool = False) -> DataFrame:
+def answer(explicit: DataFrame, goal: tuple, rules: list[Compiled], seeds: dict[str, DataFrame] | None = None, single: DataFrame | None = None) -> DataFrame:
     """The distinct statements, stated or concluded, that fit a goal of ids and None.
 
     ``seeds`` are one-column tables of the distinct values that s or o need only
-    have: others may be left out.
+    have: others may be left out.  ``single`` are the statements of the goal's
+    own predicate, if they are known to be distinct.
 
     Where only rules with one body atom can feed the goal, it is rewritten and
     read in one pass; a transitive property with a fixed end, or seeds, is
@@ -380,7 +381,10 @@ def answer(explicit: DataFrame, goal: tuple, rules: list[Compiled], seeds: dict[
     seeds = seeds or {}
     try:
         # a column with seeds counts as fixed
-        return restricted(answer_rewritings(explicit, rewrite(goal, rules), once), seeds)
+        ways = rewrite(goal, rules)
+        if len(ways) == 1 and single is not None:
+            return restricted(answer_rewritings(single, ways, once=True), seeds)
+        return restricted(answer_rewritings(explicit, ways), seeds)
     except NotRewritable:
         pass
     try:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.scan import IN_LIST, bindings, complete, connected_order, head_rows, name, natural_join
 from loomgraph.plans.rules import Atom, Rule, is_variable
-from loomgraph.terms import TYPE
+from loomgraph.terms import SAME_AS, TYPE
 from loomgraph.workspace import Workspace
 
 #: Schema bindings up to this many rows are taken to the driver, to prune with.
@@ -126,6 +126,31 @@ def derive(rule: Compiled, relations: list[DataFrame]) -> DataFrame:
     return head_rows(result, rule.head)
 
 
+def same_as_links(rule: Compiled, triples: DataFrame) -> DataFrame | None:
+    """``(s, p, o)``: each term that the rule makes the same as others, with the least of these; None for other rules.
+
+    A rule that concludes ``?y sameAs ?z`` says the same of both, so those that
+    agree in everything else are one group.  All pairs of a group are its square;
+    these links are as many as its terms and connect the same terms.  The least
+    of a group is found with a combined minimum and joined back, so that no
+    group is gathered.
+    """
+    y, p, z = rule.head.terms()
+    if p != SAME_AS or not (is_variable(y) and is_variable(z)) or y == z:
+        return None
+    own = [a for a in rule.body if y in a.terms()]
+    if any(z in a.terms() for a in own) or {a.replaced({y: z}) for a in own} != {a for a in rule.body if z in a.terms()}:
+        return None
+    atoms = [a for a in rule.body if z not in a.terms()]
+    rows = rule.side
+    for k in connected_order(atoms, rule.variables):
+        rows = natural_join(rows, bindings(triples, atoms[k], rule.known()))
+    rest = [c for c in rows.columns if c != name(y)]
+    rows = rows.distinct()
+    least = rows.groupBy(*rest).agg(F.min(name(y)).alias("__least"))
+    return rows.join(least, rest).select(F.col(name(y)).alias("s"), F.lit(SAME_AS).cast("bigint").alias("p"), F.col("__least").alias("o")).distinct()
+
+
 def _can_feed(rule: Compiled, atom: Atom, fresh: set[tuple[int, int | None]] | None) -> bool:
     """Whether new statements of these predicates, and classes for ``type``, can fit the atom."""
     if fresh is None:
@@ -226,6 +251,16 @@ def strata(rules: list[Compiled]) -> list[list[Compiled]]:
     return [groups[g] for g in order]
 
 
+def relevant_part(triples: DataFrame, rules: list[Compiled]) -> DataFrame:
+    """The statements with a predicate that the rules can read or conclude, if these are few enough for a filter."""
+    needed: set[int] = set()
+    for v in (r.values(a.p) for r in rules for a in (r.head, *r.body)):
+        if v is None:
+            return triples
+        needed |= set(v)
+    return triples.where(F.col("p").isin(sorted(needed))) if len(needed) <= IN_LIST else triples
+
+
 @dataclass
 class Closure:
     """``derived``: the distinct statements the rules add to the explicit ones."""
@@ -254,13 +289,8 @@ def fixpoint(explicit: DataFrame, rules: list[Compiled], name_: str = "closure",
     for r in rules:
         v = r.values(r.head.p)
         heads = None if heads is None or v is None else heads | set(v)
-    # what rules can read or repeat; a computed input is written once rather than computed every round
-    needed = heads
-    for v in (r.values(a.p) for r in rules for a in r.body):
-        needed = None if needed is None or v is None else needed | set(v)
-    base = explicit
-    if needed is not None and len(needed) <= IN_LIST:
-        base = base.where(F.col("p").isin(sorted(needed)))
+    # a computed input is written once rather than computed every round
+    base = relevant_part(explicit, rules)
     base = ws.settled(base) if rules else base
     parts: list[DataFrame] = []
 

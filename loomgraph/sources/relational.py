@@ -116,7 +116,7 @@ def typed(subjects: DataFrame, cls: int) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str, properties=(), classes=()) -> DataFrame:
-    """The statements of some properties and classes."""
+    """The statements of some properties and classes, each once."""
     return reduce(
         DataFrame.unionByName, [edges(spark, d, p) for p in properties] + [members(spark, d, c) for c in classes]
     )

@@ -49,7 +49,7 @@ def scan_store(spark: SparkSession, path: str, s=None, p=None, o=None) -> DataFr
     """A pattern scan over the copy whose order fits the fixed terms."""
     from loomgraph.operators.scan import scan
 
-    return scan(read_store(spark, path, "pos" if o is not None and s is None else "pso"), s, p, o)
+    return scan(read_store(spark, path, "pos" if o is not None and s is None else "pso"), s, p, o, once=True)
 
 
 def _copies(spark: SparkSession, path: str) -> dict[str, bool]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators.scan import complete
-from loomgraph.plans.forward import Compiled, derive
+from loomgraph.plans.forward import Compiled, derive, relevant_part
 from loomgraph.sources.store import insert, read_store
 from loomgraph.workspace import Workspace
 
@@ -16,10 +16,11 @@ def conclusions(new: DataFrame, stored: DataFrame, rules: list[Compiled]) -> Dat
     """The statements that follow once ``new`` joins a ``stored`` set closed under the rules.
 
     The first round reads ``new`` at one body atom and everything at the others;
-    what comes is new in turn, until nothing does.
+    what comes is new in turn, until nothing does.  Of what is stored only the
+    predicates are read that the rules can read or conclude.
     """
     ws = Workspace(new.sparkSession, "incremental")
-    total = complete(stored).unionByName(complete(new))
+    total = relevant_part(complete(stored), rules).unionByName(complete(new))
     delta = complete(new)
     parts: list[DataFrame] = []
     while True:

@@ -325,3 +325,23 @@ def test_whole_goals_stop_early_and_answers_are_tagged(spark):
     e = Engine(frame(spark, [(a, P, b), (b, P, c)]), frame(spark, [(P, 4, Q), (P, 0, 10)]))
     assert rows(e.pattern(a, P, c)) == [(a, P, c)] and rows(e.pattern(c, P, a)) == []
     assert rows(e.pattern(None, P, None, tag_explicit=True)) == [(a, P, b, True), (a, P, c, False), (b, P, c, True)]
+
+
+def test_links_connect_what_all_pairs_do(spark):
+    def groups(pairs):
+        out = {}
+        for x, y in pairs:
+            one = out.get(x, {x}) | out.get(y, {y})
+            for v in one:
+                out[v] = one
+        return {frozenset(g) for g in out.values()}
+
+    hub = [(1, P, 100 + i) for i in range(40)] + [(2, P, 139), (2, P, 200), (300, Q, 7), (301, Q, 7), (302, Q, 8)]
+    keys = [(x, 0, C) for x in (400, 401, 402)] + [(x, U, 5) for x in (400, 401, 402)] + [(x, Q + 50, v) for x, v in ((400, 1), (401, 1), (402, 2))]
+    cards = [(500, 0, D), (500, 77, 501), (500, 77, 502), (501, 0, E), (502, 0, E), (500, 77, 503)]
+    schema = [(P, 0, 7), (Q, 0, 8), (C, 30, 900), (D, 37, 35), (D, 16, 77), (D, 38, E)]
+    lists = spark.createDataFrame([(900, 0, 0, U), (900, 0, 1, Q + 50)], "head long, list_id int, pos int, el long")
+    eng = Engine(frame(spark, hub + keys + cards + [(600, 11, 601)]), frame(spark, schema), lists)
+    links, pairs = rows(eng.same_as_links()), rows(eng.pattern(None, 11, None))
+    assert groups((x, y) for x, _, y in links) == groups((x, y) for x, _, y in pairs)
+    assert len(pairs) > 40 * 40 and len(links) < 70
