@@ -13,6 +13,8 @@ from loomgraph.workspace import Workspace
 #: Segments of paths may have so many rows for each link and level; beyond it they stay as short as they are.
 GROWTH = 4
 MAX_STRIDE = 32
+#: Rounds in which nodes without parent or child are left out before cycles are looked for among the pairs of the others.
+LAYERS = 4
 
 
 def closed_pairs(ws: Workspace, links: DataFrame, within: list[str]) -> list[DataFrame]:
@@ -62,8 +64,8 @@ class Hierarchy:
     Pairs up to ``h`` links apart and the pairs with a walk of exactly ``h``
     links make, joined, those up to ``2h``: in a tree each is made once, and
     the rounds are the logarithm of the depth.  A node that is repeated in its
-    own walk, one that is its own ancestor, is on a cycle; what is below such a
-    one is never reached by paths.  Paths grow level-wise from the roots: the
+    own walk, one that is its own ancestor, is on a cycle; it and what is below
+    it are never reached by paths.  Only pairs of inner nodes are looked at for that.  Paths grow level-wise from the roots: the
     frontier is joined with all downward segments of up to ``h`` links, so one
     round adds ``h`` levels; ``h`` doubles only while the measured table stays
     within a fixed multiple of the links.  Each round is a written table: plans
@@ -92,9 +94,25 @@ class Hierarchy:
 
     @cached_property
     def cyclic(self) -> DataFrame:
-        ring = self.pairs.where("top = bottom").select("relation", "top")
-        below = self.pairs.join(ring, ["relation", "top"], "left_semi")
-        return self.ws.save(below.select("relation", F.col("bottom").alias("node_id")).distinct(), "cyclic")
+        # what has no parent or no child is on no cycle: some layers of such nodes, most of a tree, go first
+        core, n = self.ws.save_counted(self.edges, "core")
+        before, layers = n + 1, 0
+        while n and n < before and layers < LAYERS:
+            inner = core.join(core.select("relation", F.col("parent").alias("child")).distinct(), ["relation", "child"], "left_semi")
+            inner = inner.join(core.select("relation", F.col("child").alias("parent")).distinct(), ["relation", "parent"], "left_semi")
+            before, layers = n, layers + 1
+            core, n = self.ws.save_counted(inner.select("relation", "parent", "child"), "core")
+        pairs = self._read(closed_pairs(self.ws, core.withColumnsRenamed({"parent": "top", "child": "bottom"}), ["relation"])).where("new")
+        ring = pairs.where("top = bottom").select("relation", "top")
+        below = pairs.join(ring, ["relation", "top"], "left_semi").select("relation", F.col("bottom").alias("node_id")).distinct()
+        new, n = self.ws.save_counted(below, "cyclic")
+        found = [new]
+        while n:  # through the layers
+            step = self.edges.join(new.withColumnRenamed("node_id", "parent"), ["relation", "parent"], "left_semi")
+            step = step.select("relation", F.col("child").alias("node_id")).distinct().join(self._read(found), ["relation", "node_id"], "left_anti")
+            new, n = self.ws.save_counted(step, "cyclic")
+            found.append(new)
+        return self._read(found)
 
     def _segments(self, good: DataFrame, n_good: int) -> tuple[DataFrame, int]:
         """``(relation, parent, steps, h)``: downward chains of 1 to h links from

@@ -120,8 +120,11 @@ def found(spark, links):
     return h, sorted((r["relation"], r["node_id"], r["path"]) for r in h.node_paths().collect())
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_hierarchies_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_hierarchies_against_brute_force(spark, monkeypatch, seed):
+    from loomgraph.operators import hierarchy
+
+    monkeypatch.setattr(hierarchy, "LAYERS", seed % 3 * 2)
     rnd = random.Random(seed)
     links = [(rnd.choice("ab"), c := rnd.randrange(14), rnd.randrange(c, 15) if rnd.random() < 0.93 else rnd.randrange(14)) for _ in range(26)]
     links += [("a", None, 3), ("a", 3, None), (None, 1, 2), ("c", 5, 5)] + links[:4]
