@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import components, heavy_hitters, leakage, mixing, quality, term_frequency
+from loomgraph.llm import components, gram_classes, heavy_hitters, leakage, mixing, quality, term_frequency
 from loomgraph.sources.tables import table
 
 HEAVY_SHARE = "0.0025"
@@ -84,6 +84,21 @@ def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("mark", mark)
 
 
+def p6_all_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences, records and mark of every sequence of words, of any length, in the notebooks' texts.
+
+    Sequences that stand at the same places are one row: those of ``n_from`` to ``n_to`` words from
+    the ``word``-th word of ``doc_id``, the first place where they stand.
+    """
+    texts = table(spark, d, "documents").where("text IS NOT NULL")
+    total = texts.count()
+    f = gram_classes.ngram_classes(texts.select("doc_id", term_frequency.words(F.col("text")).alias("words")), "doc_id", "words")
+    mark = F.when(F.col("records") < RARE_RECORDS, "too_rare").when(
+        F.col("records") * COMMON_SHARE[1] > COMMON_SHARE[0] * total, "too_common"
+    )
+    return f.withColumnRenamed("record", "doc_id").withColumn("mark", mark)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(
         table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text"
@@ -131,8 +146,8 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_top, p2_found, p2_sizes, p6_found, p6_frequencies, p6_ngrams, p7_found, p7_spans,
-            p8_mixture, p8_shares, p9_found, p9_statistics,
+            p1_found, p1_top, p2_found, p2_sizes, p6_found, p6_frequencies, p6_ngrams, p6_all_ngrams,
+            p7_found, p7_spans, p8_mixture, p8_shares, p9_found, p9_statistics,
         )
     }
 
