@@ -7,6 +7,7 @@ all executors see, or the URI of one (``hdfs://``, ``s3://``, ``gs://``, ``file:
 from __future__ import annotations
 
 import gzip
+import posixpath
 import struct
 import uuid
 import zlib
@@ -155,6 +156,7 @@ def read_list_file(spark: SparkSession, path: str) -> DataFrame:
 def write_list_file(lists: DataFrame, path: str) -> None:
     """Writes lists to one gzip file, as the format has it; they pass through the driver one after the other."""
     fs, at = _place(path)
+    fs.create_dir(posixpath.dirname(at) or ".")
     rows = lists.select("head", "list_id", "pos", "el").na.drop().distinct()
     els = F.transform(F.array_sort(F.collect_list(F.struct("pos", "el"))), lambda x: x["el"])
     whole = rows.groupBy("head", "list_id").agg(els.alias("els"))

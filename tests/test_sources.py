@@ -37,6 +37,13 @@ def test_list_files(spark, tmp_path):
     assert rows(files.read_list_file(spark, f"{tmp_path}/list")) == sorted(data)
 
 
+def test_list_file_in_a_new_folder(spark, tmp_path):
+    data = [(7, 0, 0, 70), (8, 0, 0, 71)]
+    for at in (f"{tmp_path}/not/there/list", f"file://{tmp_path}/nor/here/list"):
+        files.write_list_file(spark.createDataFrame(data, "head long, list_id int, pos int, el long"), at)
+        assert rows(files.read_list_file(spark, at)) == data
+
+
 def test_dictionary_files(spark, tmp_path):
     data = [(5, "<http://x/é>"), (0, '"a"'), (1 << 50, ""), (5, "<http://x/é>"), (6, None), (None, "x")]
     files.write_dictionary_files(spark.createDataFrame(data, "id long, text string"), f"{tmp_path}/d")
