@@ -244,18 +244,25 @@ class Engine:
         select_all: bool = False,
         optimise: bool = True,
         implicit_estimates: bool = True,
+        constants: dict[str, int | str | None] | None = None,
     ) -> DataFrame:
         """The answer of a SPARQL query, as ids; columns are the selected variables.
 
         A constant that the dictionary does not know gives no rows.  One text
         with several ids stands for any of them.  ``select_all`` returns every
         variable.  ``lexical`` compares literals without tags and datatypes.
+        ``constants`` says what IRIs of the query stand for: an id, or a text of
+        the dictionary, which need not be one that SPARQL allows there, as a
+        literal for a predicate; None is nothing.
         """
         q = sparql.parse(text)
-        constants = list(dict.fromkeys(t for p in [*q.patterns, *[(a, b) for a, _, b in q.filters]] for t in p if not t.startswith("?")))
+        given = constants or {}
+        texts = list(dict.fromkeys(t for p in [*q.patterns, *[(a, b) for a, _, b in q.filters]] for t in p if not t.startswith("?") and t not in given))
         if lexical:
-            constants = [c if c.startswith("<") else c[: c.rindex('"') + 1] for c in constants]
-        known = lookup(self.dictionary, constants, lexical)
+            texts = [c if c.startswith("<") else c[: c.rindex('"') + 1] for c in texts]
+        known = lookup(self.dictionary, texts, lexical)
+        stored = lookup(self.dictionary, [c for c in given.values() if isinstance(c, str)], reserved=False)
+        known |= {t: [c] if isinstance(c, int) else stored.get(c, []) for t, c in given.items()}
         every = list(dict.fromkeys(t for p in q.patterns for t in p if t.startswith("?") and not t.startswith("?_b")))
         chosen = every if select_all else q.variables
 
@@ -283,17 +290,17 @@ class Engine:
             atoms.append(Atom(*terms))
         out = self.bgp(atoms, reason, optimise, sets=sets, implicit_estimates=implicit_estimates)
         for a, op, b in q.filters:
-            out = self._filter(out, a, op, b, ids)
+            out = self._filter(out, a, op, b, ids, given)
         out = out.select(*[name(v) for v in chosen])
         if q.distinct:
             out = out.distinct()
         return out.limit(q.limit) if q.limit is not None else out
 
-    def _filter(self, rows: DataFrame, a: str, op: str, b: str, ids) -> DataFrame:
+    def _filter(self, rows: DataFrame, a: str, op: str, b: str, ids, given: dict) -> DataFrame:
         if not a.startswith("?"):
             a, b = b, a
         if not a.startswith("?"):
-            same = a == b
+            same = given.get(a, a) == given.get(b, b)
             return rows if same == (op == "=") else rows.where("false")
         left = F.col(name(a))
         if b.startswith("?"):

@@ -934,10 +934,11 @@ def sparql_filter(spark, d):
 @query(f"""SELECT a.s AS x, b.o AS z FROM {_T} a JOIN {_T} b ON a.o = b.s WHERE a.p = 101 AND b.p IN
 (SELECT id FROM dictionary WHERE text = (SELECT min(text) FROM dictionary WHERE id = 117))""")
 def sparql_store(spark, d):
-    """A path over the stored triples, its constants taken from the dictionary."""
-    known = {r["id"]: r["text"] for r in clean_dictionary(table(spark, d, "dictionary").where(F.col("id").isin(101, 117))).collect()}
+    """A path over the stored triples, its second property given by its text in the dictionary, whatever that is."""
+    text = clean_dictionary(table(spark, d, "dictionary").where("id = 117")).first()
+    constants = {"<urn:first>": 101, "<urn:second>": text and text["text"]}
     e = Engine(triples(spark, d), dictionary=table(spark, d, "dictionary"))
-    return e.sparql(f"SELECT ?x ?z WHERE {{ ?x {known[101]} [ {known[117]} ?z ] }}", reason=False)
+    return e.sparql("SELECT ?x ?z WHERE { ?x <urn:first> [ <urn:second> ?z ] }", reason=False, constants=constants)
 
 
 def queries() -> dict:

@@ -113,15 +113,15 @@ def clean_dictionary(dictionary: DataFrame) -> DataFrame:
     return dictionary.where("id IS NOT NULL AND text IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def lookup(dictionary: DataFrame | None, texts: list[str], lexical: bool = False) -> dict[str, list[int]]:
+def lookup(dictionary: DataFrame | None, texts: list[str], lexical: bool = False, reserved: bool = True) -> dict[str, list[int]]:
     """The ids of a query's constants, reserved ones first; unknown texts are absent.
 
-    Reserved ones need no dictionary.
+    Reserved ones need no dictionary; without ``reserved`` it alone counts.
 
     ``lexical`` also matches a literal whatever its language tag or datatype.
     """
-    out = {t: [RESERVED[t]] for t in texts if t in RESERVED}
-    rest = [t for t in texts if t not in RESERVED]
+    out = {t: [RESERVED[t]] for t in texts if reserved and t in RESERVED}
+    rest = [t for t in texts if t not in out]
     if rest and dictionary is not None:
         text = F.col("text")
         key = F.regexp_replace(text, r'(?s)\A("(?:[^"\\]|\\.)*+").*\z', "$1") if lexical else text

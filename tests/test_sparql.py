@@ -103,3 +103,30 @@ def test_command_line(engine, spark, tmp_path, capsys):
 def test_the_vocabulary_needs_no_dictionary(spark):
     e = Engine(spark.createDataFrame([(1, 0, 207), (2, 5, 3)], "s long, p long, o long"))
     assert [tuple(r) for r in e.sparql("SELECT ?x ?c { ?x a ?c }", reason=False).collect()] == [(1, 207)]
+
+
+@pytest.mark.parametrize("texts", [
+    [(101, '"a literal"'), (117, "<http://x/p>")],
+    [(101, "<http://x/q>"), (103, "<http://x/q>"), (117, '"of \\"two\\"'), (117, '"of \\"two\\" ids"@en'), (118, '"of \\"two\\"'), (117, None)],
+    [(117, "?no <term> at all"), (118, "?no <term> at all"), (None, "?no <term> at all")],
+    [(117, RDF_TYPE)],
+    [(101, "<http://x/q>"), (117, None)],
+])
+def test_any_text_of_the_dictionary_is_a_constant(spark, tmp_path, texts):
+    from loomgraph.graph_queries import SQL, sparql_store
+    from tests.conftest import compare
+
+    data = [(1, 101, 2), (1, 101, 2), (3, 101, 2), (4, 103, 2), (2, 117, 5), (2, 118, 5), (2, 118, 6), (2, 0, 7), (2, 117, None)]
+    spark.createDataFrame(data, "s long, p long, o long").coalesce(1).write.parquet(f"{tmp_path}/made/t")
+    spark.createDataFrame(texts, "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/made/d")
+    (tmp_path / "in").mkdir()
+    for made, table in (("t", "triples"), ("d", "dictionary")):
+        next((tmp_path / "made" / made).glob("*.parquet")).rename(tmp_path / "in" / f"{table}.parquet")
+    got, want = compare(spark, str(tmp_path / "in"), sparql_store, SQL["sparql_store"])
+    assert got == want and (got or texts[-1][1] is None)
+
+
+def test_given_constants(engine):
+    query = "SELECT ?a ?n { ?a <urn:p> ?n . FILTER(<urn:p> = <urn:q>) }"
+    assert rows(engine.sparql(query, reason=False, constants={"<urn:p>": 51, "<urn:q>": 51})) == [(1, 2), (2, 2)]
+    assert rows(engine.sparql(query, reason=False, constants={"<urn:p>": 51, "<urn:q>": 50})) == []
